@@ -5,10 +5,41 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
 
+def op1_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dup import near_duplicates
+
+    return near_duplicates(spark, table(spark, sf_dir, "documents"))
+
+
+def op2_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(spark, table(spark, sf_dir, "documents")).withColumn("weight", F.round("weight", 9))
+
+
+def op4_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import place
+
+    return place(spark, table(spark, sf_dir, "documents"))
+
+
+def op8_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_frequency import frequent_lines
+
+    return frequent_lines(spark, table(spark, sf_dir, "documents"))
+
+
+def op10_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .positional_index import decontaminate
+
+    return decontaminate(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
 def op3_substring_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_tree import deduplicate
 
@@ -23,10 +54,22 @@ def op7_lyndon_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_prob_minhash": op1_prob_minhash,
+        "op2_temperature_mix": op2_temperature_mix,
         "op3_substring_tree": op3_substring_tree,
+        "op4_sampled_splitters": op4_sampled_splitters,
         "op7_lyndon_suffix": op7_lyndon_suffix,
+        "op8_line_frequency": op8_line_frequency,
+        "op10_positional_index": op10_positional_index,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import line_frequency, mixing, oracles
+
+    return {
+        "op2_temperature_mix": mixing.SQL,
+        "op3_substring_tree": oracles.SUBSTRING_WORDS,
+        "op8_line_frequency": line_frequency.SQL,
+        "op10_positional_index": oracles.CONTAMINATION,
+    }

@@ -62,8 +62,9 @@ class Rolling:
         return mix((self.sums[k:] - self.sums[:n]) * self.down[:n]) if n > 0 else np.zeros(0, U64)
 
 
-def text_blocks(column: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row + 1, bytes, offsets) of runs of rows of a string column, about ``limit`` bytes each.
+def text_blocks(column: pa.Array, limit: int = 1 << 21, max_rows: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row + 1, bytes, offsets) of runs of rows of a string column, about ``limit`` bytes
+    and at most ``max_rows`` rows each.
 
     Null texts are empty. A longer single text is a run of its own.
     """
@@ -80,7 +81,7 @@ def text_blocks(column: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, i
     i, n = 0, len(column)
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
-        j = min(j, n)
+        j = min(j, n, i + max_rows)
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
 
