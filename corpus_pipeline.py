@@ -1,8 +1,69 @@
-"""A corpus pipeline of the training-data operators."""
+"""A corpus pipeline of five training-data operators; every stage works on all rows that the one before it kept."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sheafline.llm import common, mixing, near_dup, positional_index, sharding, toxicity
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _verdicts(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Rows whose doc_id isn't among the rejected ones; rows without doc_id stay."""
+    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the span tagger, trained on the labelled documents, scores at 0.5 or more."""
+    model = toxicity.learn(spark, docs, common.table(spark, sf_dir, "labels"))
+    return _verdicts(docs, toxicity.tag(model, docs, spans=False, spark=spark).where("predicted = 1")).select(*COLUMNS)
+
+
+def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document, that of the least doc_id, of every class of near-duplicates."""
+    gone = near_dup.near_duplicates(spark, docs).where("NOT kept")
+    # A repeated row shares its doc_id with the one kept: keep a single row of it.
+    rows = docs.select(*COLUMNS).dropDuplicates(["doc_id", "text"])
+    return _verdicts(rows, gone.where("doc_id <> class_id")).select(*COLUMNS)
+
+
+def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that hold benchmark phrases in a twentieth of their words or more."""
+    found = positional_index.decontaminate(spark, docs, common.table(spark, sf_dir, "benchmark"))
+    return _verdicts(docs, found.where("contaminated")).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the temperature mixture uses them."""
+    return mixing.mix(spark, docs, carry=COLUMNS[1:2] + COLUMNS[2:3] + ("n_chars",)).select(*COLUMNS)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows with their shard and slot."""
+    return sharding.place(spark, docs, carry=COLUMNS[1:]).select(*COLUMNS, "size", "shard", "slot")
+
+
+STAGES = [
+    ("toxicity", remove_toxic),
+    ("near_duplicates", remove_near_duplicates),
+    ("decontamination", remove_contaminated),
+    ("mixing", mix_sources),
+    ("sharding", shard),
+]
+
+#: No SQL states a trained tagger; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other; each stage's rows are a Parquet table in the shared folder."""
+    at = f"{common.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = common.table(spark, sf_dir, "documents").select(*[F.col(c) for c in COLUMNS])
+    for k, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}-{name}")
+        docs = spark.read.parquet(f"{at}/{k}-{name}")
+    return docs

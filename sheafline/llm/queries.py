@@ -34,6 +34,12 @@ def op8_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frequent_lines(spark, table(spark, sf_dir, "documents"))
 
 
+def op9_dom_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .dom_crf import extract
+
+    return extract(spark, table(spark, sf_dir, "pages"))
+
+
 def op10_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .positional_index import decontaminate
 
@@ -46,6 +52,24 @@ def op3_substring_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(spark, table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op5_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"))
+
+
+def op6_license_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: source, language, a folder of 64 ids. A text of up to three lines that begins with
+    capital L, R or T and holds a license word is taken as its folder's license file."""
+    from .licenses import scan
+
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.floor(F.col("doc_id") / 64).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    lead = F.split(F.coalesce("text", F.lit("")), "\n")
+    files = docs.select("doc_id", "text", path.alias("path"), (F.lower(F.get(lead, F.lit(0))).rlike("licen[cs]e") & (F.size(lead) <= 3)).alias("is_license_file"))
+    return scan(spark, files, carry=("doc_id",)).withColumn("similarity", F.round("similarity", 6))
+
+
 def op7_lyndon_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lyndon_suffix import deduplicate
 
@@ -58,8 +82,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_temperature_mix": op2_temperature_mix,
         "op3_substring_tree": op3_substring_tree,
         "op4_sampled_splitters": op4_sampled_splitters,
+        "op5_toxic_spans": op5_toxic_spans,
+        "op6_license_tfidf": op6_license_tfidf,
         "op7_lyndon_suffix": op7_lyndon_suffix,
         "op8_line_frequency": op8_line_frequency,
+        "op9_dom_crf": op9_dom_crf,
         "op10_positional_index": op10_positional_index,
     }
 
