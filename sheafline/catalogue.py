@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .operators import elements, history, layout, obligations, sections  # noqa: F401  they register their queries
+from .operators import dedup, elements, history, layout, obligations, render, sections, tables  # noqa: F401  they register their queries
 from .plans.registry import ORACLES, QUERIES, Query
 
 

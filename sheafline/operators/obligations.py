@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import heapq
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -157,17 +157,17 @@ def plan_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     Names sort as text, so o10 goes before o2 when both are ready.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+    def order(rows: list[dict]) -> list[int]:
         after: dict[int, list[int]] = {}
-        done = {int(p) for p, s in zip(rows["pos"], rows["satisfied"], strict=True) if s}
+        done = {r["pos"] for r in rows if r["satisfied"]}
         ready = []
-        for p, d in zip(rows["pos"], rows["dep"], strict=True):
-            if int(p) in done:
+        for r in rows:
+            if r["satisfied"]:
                 continue
-            if pd.isna(d) or int(d) in done:
-                ready.append((f"o{int(p)}", int(p)))
+            if r["dep"] is None or r["dep"] in done:
+                ready.append((f"o{r['pos']}", r["pos"]))
             else:
-                after.setdefault(int(d), []).append(int(p))
+                after.setdefault(r["dep"], []).append(r["pos"])
         heapq.heapify(ready)
         out = []
         while ready:
@@ -175,9 +175,15 @@ def plan_order(spark: SparkSession, sf_dir: str) -> DataFrame:
             out.append(p)
             for q in after.pop(p, []):
                 heapq.heappush(ready, (f"o{q}", q))
-        return pd.DataFrame({"doc_id": rows["doc_id"].iloc[0], "step": range(len(out)), "pos": out})
+        return out
 
-    return obligations(spark, sf_dir).select("doc_id", "pos", "dep", "satisfied").groupBy("doc_id").applyInPandas(fold, "doc_id long, step long, pos long")
+    def fold(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([order(r) for r in batch.column(1).to_pylist()], pa.list_(pa.int64()))], names=["doc_id", "steps"])
+
+    # A document's obligations are one array, so a task folds many documents a batch.
+    jobs = obligations(spark, sf_dir).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "dep", "satisfied")).alias("rows"))
+    return jobs.mapInArrow(fold, "doc_id long, steps array<long>").select("doc_id", F.posexplode("steps").alias("step", "pos")).select("doc_id", F.col("step").cast("long").alias("step"), "pos")
 
 
 @query()
