@@ -32,6 +32,6 @@ def run_available(result: DataFrame, out: str, checkpoint: str, mode: str = "app
     q.awaitTermination()
 
 
-def deduplicated(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    """One event of each id inside the watermark."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+def deduplicated(events: DataFrame) -> DataFrame:
+    """One event of each id inside the stream's watermark."""
+    return events.dropDuplicatesWithinWatermark(["event_id"])
