@@ -182,7 +182,7 @@ def features(page: list[Block]) -> list[list[int]]:
 LINES = "news about contact home topics world sport terms privacy archive search login help shop team".split()
 
 
-def training_pages(seed: int = 7, count: int = 600) -> list[tuple[str, list[tuple[str, int]]]]:
+def training_pages(seed: int = 7, count: int = 1000) -> list[tuple[str, list[tuple[str, int]]]]:
     """Labelled pages: (html, [(block text, 1 for main text)]). Text is random, so only structure can be learnt."""
     r = random.Random(seed)
     syllables = [a + b for a in "b d f g l m n p r s t v z ch sh th".split() for b in "a e i o u an en on er".split()]
@@ -218,7 +218,7 @@ def training_pages(seed: int = 7, count: int = 600) -> list[tuple[str, list[tupl
         return [("<figure><img src='x.png'><figcaption>", phrase(4, 9), "</figcaption></figure>", main)]
 
     def article() -> list:
-        tag, name = r.choice((("article", ""), ("article", ""), ("article", attr("post", "story", "entry")), ("main", attr("content")), ("div", must("content", "main", "post", "entry", "story", "article", "article-body", "post-content", "text", "main-content")), ("section", must("content", "article", "post"))))
+        tag, name = r.choice((("article", ""), ("article", ""), ("article", attr("post", "story", "entry")), ("main", ""), ("main", attr("content")), ("div", must("content", "main", "post", "entry", "story", "article", "article-body", "post-content", "text", "main-content")), ("section", must("content", "article", "post"))))
         out = [(f"<{tag}{name}>", None, "", 0)]
         if r.random() < 0.1:
             out = [("<main>", None, "", 0), *out]
@@ -270,7 +270,8 @@ def training_pages(seed: int = 7, count: int = 600) -> list[tuple[str, list[tupl
     pages = []
     for _ in range(count):
         parts = []
-        chance = lambda p: r.random() < p
+        much = 0.15 if r.random() < 0.2 else 1.0  # some pages are hardly more than their article
+        chance = lambda p, much=much: r.random() < p * much
         parts += header() if chance(0.45) else []
         parts += menu(*r.choice((("nav", ""), ("nav", attr("menu")), ("div", must("nav", "menu", "navbar", "navigation"))))) if chance(0.85) else []
         for make, p in ((notice, 0.3), (advert, 0.45), (form, 0.2), (sidebar, 0.25)):
