@@ -66,3 +66,14 @@ def test_outline_formula():
         shifted = [0, *levels[1:]]
         got = [0 if i == 0 else min(i, min(shifted[j] - j for j in range(i + 1)) + i) for i in range(len(levels))]
         assert got == want
+
+
+def test_folds():
+    from sheafline.operators.folds import anchor_groups, marker_blocks, reflow
+
+    texts = ["x", "Início de nota:", "Início de box:", "Fim de nota", "Início de barra lateral:", "Início de box:", "y"]
+    got = marker_blocks([{"pos": i, "line": t} for i, t in enumerate(texts)])
+    assert [(b["first"], b["last"], b["kind"]) for b in got] == [(0, 0, "paragraph"), (1, 3, "nota"), (4, 4, "paragraph"), (5, 6, "box")]
+    assert reflow('a{b("x;{");c();}') == 'a{\n    b("x;{");\n    c();\n}'
+    rows = [{"pos": i, "x0": x, "known": k} for i, (x, k) in enumerate([(0, True), (10, False), (20, False), (3, False), (0, True)])]
+    assert [(g["first"], g["last"]) for g in anchor_groups(rows)] == [(0, 2)]
