@@ -26,7 +26,7 @@ from .repeats import BUCKET_LIMIT, by_bucket, candidates, keyed, window_hashes
 from .units import BYTE_CODES, U64, mix, powers
 
 WINDOW = 200
-GRAM = 32
+GRAM = 100
 
 
 def suffix_array(symbols: Sequence[int]) -> list[int]:
@@ -124,8 +124,9 @@ def common_prefixes(symbols: Sequence[int], array: list[int]) -> list[int]:
     return lcp
 
 
-def _neighbour_cuts(rows: np.ndarray, lengths: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(group, shared length) of neighbours in the order of the rows inside each group."""
+def _neighbours(rows: np.ndarray, lengths: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For neighbours in the order of the rows inside each group: both rows, and the lengths that they share, clipped to
+    the rows' lengths and as padded (padding may look like text that holds zero bytes)."""
     n, width = rows.shape
     key = np.empty((n, width + 8), np.uint8)
     key[:, :8] = group.astype(">u8").view(np.uint8).reshape(n, 8)
@@ -136,8 +137,15 @@ def _neighbour_cuts(rows: np.ndarray, lengths: np.ndarray, group: np.ndarray) ->
     a, b = a[same], b[same]
     differ = rows[a] != rows[b]
     shared = np.where(differ.any(1), differ.argmax(1), width)
-    # Padding may look like text that holds zero bytes, so the unclipped length is a cut as well.
-    return np.concatenate([group[a], group[a]]), np.concatenate([np.minimum(shared, np.minimum(lengths[a], lengths[b])), shared])
+    return a, b, np.minimum(shared, np.minimum(lengths[a], lengths[b])), shared
+
+
+def _most(n: int, a: np.ndarray, b: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """The longest length that each row shares with a neighbour."""
+    out = np.zeros(n, np.int64)
+    np.maximum.at(out, a, shared)
+    np.maximum.at(out, b, shared)
+    return out
 
 
 def array_solver(window: int, gram: int):
@@ -145,29 +153,47 @@ def array_solver(window: int, gram: int):
     before, total = window - gram, 2 * window - gram
 
     def solve(cols: dict[str, np.ndarray], raw: list[bytes]) -> dict[str, np.ndarray]:
-        n = len(raw)
-        left = cols["left"].astype(np.int64)
-        right = np.array([len(x) for x in raw], np.int64) - left
-        body = np.zeros((n, total), np.uint8)
+        full_left = cols["left"].astype(np.int64)
+        full_right = np.array([len(x) for x in raw], np.int64) - full_left
+        body = np.zeros((len(raw), total), np.uint8)
         for i, x in enumerate(raw):
-            body[i, before - left[i] : before + right[i]] = np.frombuffer(x, np.uint8)
+            body[i, before - full_left[i] : before + full_right[i]] = np.frombuffer(x, np.uint8)
         group = np.unique(cols["key"], return_inverse=True)[1].astype(np.int64)
-        g1, r = _neighbour_cuts(body[:, before:], right, group)
-        g2, l = _neighbour_cuts(np.ascontiguousarray(body[:, :before][:, ::-1]), left, group)
-        # The end of every string is a cut, and so are the ends that neighbours share.
-        ends = [g1 * (total + 1) + before + r, g2 * (total + 1) + before - l, group * (total + 1) + before - left, group * (total + 1) + before + right]
-        cuts = np.unique(np.concatenate(ends))
-        cut_group, cut = cuts // (total + 1), cuts % (total + 1)
-        lo = np.searchsorted(cuts, group * (total + 1) + before - left)
-        hi = np.searchsorted(cuts, group * (total + 1) + before + right)
+        far_back, far_on = np.full(len(raw), -1, np.int64), np.full(len(raw), -1, np.int64)
+        copies = cols["n"] > 1  # the whole context stands elsewhere too
+        far_back[copies], far_on[copies] = full_left[copies], full_right[copies]
+        backward = np.ascontiguousarray(body[:, :before][:, ::-1])
+        ra, rb, r, r_raw = _neighbours(body[:, before:], full_right, group)
+        la, lb, l, l_raw = _neighbours(backward, full_left, group)
+        # Beyond what it shares with a neighbour in order a string shares nothing with any other of its bucket.
+        right, left = _most(len(raw), ra, rb, r_raw), _most(len(raw), la, lb, l_raw)
+        right, left = np.minimum(right, full_right), np.minimum(left, full_left)
+        live = np.flatnonzero(left + right >= window)
+        if len(live):
+            back, on = _by_array(body[live], group[live], left[live], right[live], [(group[ra], before + r), (group[ra], before + r_raw), (group[la], before - l), (group[la], before - l_raw)], before, total, window)
+            far_back[live], far_on[live] = np.maximum(far_back[live], back), np.maximum(far_on[live], on)
+        keep = far_back >= 0
+        return {"key": cols["key"][keep], "context": cols["context"][keep], "back": far_back[keep].astype(np.int32), "reach": far_on[keep].astype(np.int32)}
+
+    def _by_array(body, group, left, right, marks, before, total, window):
+        """(back, on) of each string: -1 without a match of ``window`` bytes. marks: (group, column) of cuts."""
+        n, base = len(group), total + 1
+        cuts = np.unique(np.concatenate([*(g * base + c for g, c in marks), group * base + before - left, group * base + before + right]))
+        cut = cuts % base
+        lo = np.searchsorted(cuts, group * base + before - left)
+        hi = np.searchsorted(cuts, group * base + before + right)
         many = hi - lo  # segments of each string
         who = np.repeat(np.arange(n), many)
         seg = np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
-        sums = np.zeros((n, total + 1), U64)
+        content = np.empty(len(who), U64)
         up, down = powers(total + 1)
-        np.cumsum(BYTE_CODES[body] * up[:total], axis=1, dtype=U64, out=sums[:, 1:])
-        content = mix((sums[who, cut[seg + 1]] - sums[who, cut[seg]]) * down[cut[seg]])
-        del sums, cut_group
+        edge = np.concatenate([[0], np.cumsum(many)])
+        for i in range(0, n, 4096):  # prefix sums of some strings at a time
+            part = slice(edge[i], edge[min(n, i + 4096)])
+            sums = np.zeros((min(n, i + 4096) - i, total + 1), U64)
+            np.cumsum(BYTE_CODES[body[i : i + 4096]] * up[:total], axis=1, dtype=U64, out=sums[:, 1:])
+            row, k = who[part] - i, seg[part]
+            content[part] = mix((sums[row, cut[k + 1]] - sums[row, cut[k]]) * down[cut[k]])
         pair = np.stack([seg.astype(U64), content], 1)
         symbol = np.unique(pair, axis=0, return_inverse=True)[1].reshape(-1) + n + 1
         # One sequence: string after string, each ended by a symbol of its own.
@@ -186,11 +212,7 @@ def array_solver(window: int, gram: int):
         far_back, far_on = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
         np.maximum.at(far_back, who[ok], back[ok])
         np.maximum.at(far_on, who[ok], reach[ok])
-        copies = cols["n"] > 1  # the whole context stands elsewhere too
-        whole = copies & (left + right >= window)
-        far_back[whole], far_on[whole] = left[whole], right[whole]
-        keep = far_back >= 0
-        return {"key": cols["key"][keep], "context": cols["context"][keep], "back": far_back[keep].astype(np.int32), "reach": far_on[keep].astype(np.int32)}
+        return far_back, far_on
 
     return solve
 
@@ -202,7 +224,7 @@ def repeated_ranges(spark: SparkSession, docs: DataFrame, scratch: Scratch, wind
     w = scratch.put(window_hashes(large, window, gram, "byte"), "windows")
     twice = w.groupBy("key", "shift", "hash").agg(F.sum("n").alias("all")).where("all > 1").drop("all")
     counted = w.join(twice, ["key", "shift", "hash"]).groupBy("key", "context").agg(F.max("shift").cast("int").alias("back"), (window - F.min("shift")).cast("int").alias("reach"))
-    one = alone.where(F.col("left") + F.col("right") >= window).select("key", "context", F.col("left").alias("back"), F.col("right").alias("reach"))
+    one = alone.select("key", "context", F.lit(window - gram).alias("back"), F.lit(window).alias("reach"))  # clipped at the ends later
     found = scratch.put(one.unionByName(array).unionByName(counted), "found")
     return (
         member.join(found, ["key", "context"])
@@ -232,7 +254,7 @@ def deduplicate(spark: SparkSession, documents: DataFrame, window: int = WINDOW,
                 raw = raw.to_pybytes() if raw is not None else b""
                 found = lists[k].as_py()
                 spans: list[tuple[int, int]] = []
-                for s, e in sorted((x["s"], x["e"]) for x in found or ()):
+                for s, e in sorted((max(0, x["s"]), min(len(raw), x["e"])) for x in found or ()):
                     if spans and s <= spans[-1][1]:
                         spans[-1] = (spans[-1][0], max(e, spans[-1][1]))
                     else:

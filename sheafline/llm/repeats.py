@@ -46,36 +46,36 @@ def members(docs: DataFrame, unit: str, window: int, gram: int) -> DataFrame:
                 codes, at = unit_codes(data, offsets, unit)
                 a = anchors(codes, at, window, gram)
                 if len(a["at"]):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(a["key"]), pa.array(a["context"]), pa.array(ids[i:j][a["doc"]]), pa.array((a["at"] - at[a["doc"]]).astype(np.int32)), pa.array(a["left"].astype(np.int32)), pa.array(a["right"].astype(np.int32))],
-                        names=["key", "context", "d", "at", "left", "right"],
-                    )
+                    yield pa.RecordBatch.from_arrays([pa.array(a["key"]), pa.array(a["context"]), pa.array(ids[i:j][a["doc"]]), pa.array((a["at"] - at[a["doc"]]).astype(np.int32))], names=["key", "context", "d", "at"])
 
-    return docs.select("d", "text").mapInArrow(emit, "key long, context long, d long, at int, left int, right int")
+    return docs.select("d", "text").mapInArrow(emit, "key long, context long, d long, at int")
 
 
-def contexts(docs: DataFrame, wanted: DataFrame, unit: str) -> DataFrame:
-    """The codes around each wanted anchor (key, context, d, at, left, right, n, least), fetched from its document."""
-    per_doc = wanted.groupBy("d").agg(F.collect_list(F.struct("key", "context", "at", "left", "right", "n", "least")).alias("w"))
-    schema = "key long, context long, left int, n long, least long, codes binary"
+FIELDS = ("key", "context", "at", "n", "least", "kinds")
+
+
+def contexts(docs: DataFrame, wanted: DataFrame, unit: str, window: int, gram: int) -> DataFrame:
+    """The codes around each wanted anchor (d and FIELDS), fetched from its document."""
+    per_doc = wanted.groupBy("d").agg(F.collect_list(F.struct(*FIELDS)).alias("w"))
+    schema = "key long, context long, left int, n long, least long, kinds long, codes binary"
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(1)
             flat, row_at = lists.flatten(), np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))])
-            f = {name: flat.field(k).to_numpy(zero_copy_only=False) for k, name in enumerate(("key", "context", "at", "left", "right", "n", "least"))}
+            f = {name: flat.field(k).to_numpy(zero_copy_only=False) for k, name in enumerate(FIELDS)}
             for i, j, data, offsets in text_blocks(batch.column(0)):
                 codes, at = (data, offsets) if unit == "byte" else unit_codes(data, offsets, unit)
-                rows = slice(row_at[i], row_at[j])
-                a = f["at"][rows] + np.repeat(at[:-1], np.diff(row_at[i : j + 1]))
-                lo, hi = a - f["left"][rows], a + f["right"][rows]
+                rows, many = slice(row_at[i], row_at[j]), np.diff(row_at[i : j + 1])
+                a = f["at"][rows] + np.repeat(at[:-1], many)
+                lo = np.maximum(a - (window - gram), np.repeat(at[:-1], many))
+                hi = np.minimum(a + window, np.repeat(at[1:], many))
                 size = codes.dtype.itemsize
-                raw, ends = codes.tobytes(), (np.cumsum(hi - lo) * size).astype(np.int32)
-                body = b"".join(raw[x * size : y * size] for x, y in zip(lo.tolist(), hi.tolist(), strict=True))
+                raw, ends = codes.tobytes(), np.cumsum(hi - lo) * size
+                body = b"".join([raw[x * size : y * size] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)])
                 cut = pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32).tobytes()), pa.py_buffer(body)])
-                yield pa.RecordBatch.from_arrays([pa.array(f["key"][rows]), pa.array(f["context"][rows]), pa.array(f["left"][rows]), pa.array(f["n"][rows]), pa.array(f["least"][rows]), cut], names=["key", "context", "left", "n", "least", "codes"])
+                yield pa.RecordBatch.from_arrays([pa.array(f["key"][rows]), pa.array(f["context"][rows]), pa.array((a - lo).astype(np.int32)), pa.array(f["n"][rows]), pa.array(f["least"][rows]), pa.array(f["kinds"][rows]), cut], names=[x.split()[0] for x in schema.split(", ")])
 
-    # One text stands for the rows that share a key d; equal rows have equal texts.
     return docs.select("d", "text").join(per_doc, "d").select("text", "w").mapInArrow(emit, schema)
 
 
@@ -140,11 +140,13 @@ def candidates(spark: SparkSession, docs: DataFrame, scratch: Scratch, unit: str
 
     distinct_docs: a repeat counts only between different documents.
     """
-    member = scratch.put(members(docs, unit, window, gram), "members")
-    classes = member.groupBy("key", "context").agg(F.count("*").alias("n"), F.min("d").alias("least"), F.max("d").alias("most"), F.first("d").alias("d"), F.first("at").alias("at"), F.first("left").alias("left"), F.first("right").alias("right"))
-    buckets = classes.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("n").alias("all"), F.min("least").alias("b_least"), F.max("most").alias("b_most"))
-    live = F.col("b_least") < F.col("b_most") if distinct_docs else F.col("all") > 1
-    flagged = scratch.put(classes.join(buckets.where(live).select("key", "kinds"), "key"), "classes")
-    alone = flagged.where("kinds = 1")
-    several = scratch.put(contexts(docs, flagged.where("kinds > 1"), unit).join(flagged.where("kinds > 1").select("key", "kinds").distinct(), "key"), "contexts")
-    return member, alone, several.where(F.col("kinds") <= bucket_limit), several.where(F.col("kinds") > bucket_limit)
+    every = scratch.put(members(docs, unit, window, gram), "all-members")
+    live = every.groupBy("key").agg(F.min("d").alias("a"), F.max("d").alias("b")).where("a < b") if distinct_docs else every.groupBy("key").agg(F.count("*").alias("a")).where("a > 1")
+    live = scratch.put(live.select("key"), "live")
+    member = scratch.put(every.join(live, "key"), "members")
+    scratch.drop("all-members")
+    classes = member.groupBy("key", "context").agg(F.count("*").alias("n"), F.min("d").alias("least"), F.first("d").alias("d"), F.first("at").alias("at"))
+    classes = classes.join(classes.groupBy("key").agg(F.count("*").alias("kinds")), "key")
+    classes = scratch.put(classes, "classes")
+    several = scratch.put(contexts(docs, classes.where("kinds > 1"), unit, window, gram), "contexts")
+    return member, classes.where("kinds = 1"), several.where(F.col("kinds") <= bucket_limit), several.where(F.col("kinds") > bucket_limit)
