@@ -23,7 +23,7 @@ from .repeats import BUCKET_LIMIT, by_bucket, candidates, keyed, window_hashes
 from .units import covered, text_blocks, words
 
 WINDOW = 50
-GRAM = 8
+GRAM = 25
 
 
 def refine(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -85,16 +85,14 @@ def repeated_ranges(spark: SparkSession, docs: DataFrame, scratch: Scratch, wind
     tree = by_bucket(small, tree_solver(window, gram), "key long, context long, lo int, hi int, first_doc long")
     w = scratch.put(window_hashes(large, window, gram, "word"), "windows")
     counted = w.join(w.groupBy("key", "shift", "hash").agg(F.min("least").alias("first_doc")), ["key", "shift", "hash"]).select("key", "context", F.col("shift").alias("lo"), F.col("shift").alias("hi"), "first_doc")
-    # A bucket with one context: every window through the anchor is the same in all its members.
-    one = alone.select("key", "context", F.greatest(F.lit(0), window - F.col("right")).cast("int").alias("lo"), F.least("left", F.lit(window - gram)).cast("int").alias("hi"), F.col("least").alias("first_doc")).where("lo <= hi")
-    found = scratch.put(one.unionByName(tree).unionByName(counted), "found")
-    return (
-        member.join(found, ["key", "context"])
-        .where("d > first_doc")
-        .select("d", F.struct((F.col("at") - F.col("hi")).alias("s"), (F.col("at") - F.col("lo") + window).alias("e")).alias("r"))
-        .groupBy("d")
-        .agg(F.collect_set("r").alias("ranges"))
-    )
+    # A bucket with one context: every window through the anchor is the same in all its members. Ranges are clipped later.
+    one = alone.select("key", "context", F.lit(0).alias("lo"), F.lit(window - gram).alias("hi"), F.col("least").alias("first_doc"))
+    runs = one.unionByName(tree).unionByName(counted).groupBy("key", "context").agg(F.collect_list(F.struct("lo", "hi", "first_doc")).alias("runs"))
+    found = scratch.put(runs, "found")
+    # All windows hold the anchor, so those to be removed from a member cover one range.
+    hits = member.join(found, ["key", "context"]).withColumn("runs", F.expr("filter(runs, r -> r.first_doc < d)")).where("size(runs) > 0")
+    one_range = F.struct(F.expr("at - array_max(transform(runs, r -> r.hi))").alias("s"), F.expr(f"at - array_min(transform(runs, r -> r.lo)) + {window}").alias("e"))
+    return hits.select("d", one_range.alias("r")).groupBy("d").agg(F.collect_set("r").alias("ranges"))
 
 
 def deduplicate(spark: SparkSession, documents: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
@@ -119,7 +117,7 @@ def deduplicate(spark: SparkSession, documents: DataFrame, window: int = WINDOW,
                     found = lists[k].as_py()
                     keep = np.ones(hi - lo, bool)
                     if found:
-                        keep = ~covered(np.array([x["s"] for x in found]), np.array([x["e"] for x in found]), hi - lo)
+                        keep = ~covered(np.maximum([x["s"] for x in found], 0), np.minimum([x["e"] for x in found], hi - lo), hi - lo)
                     raw = data.data
                     body = b" ".join(bytes(raw[s:e]) for s, e in zip(starts[lo:hi][keep].tolist(), ends[lo:hi][keep].tolist(), strict=True))
                     for column, v in zip(out, (int(hi - lo), int((~keep).sum()), hashlib.sha256(body).hexdigest(), body), strict=True):
