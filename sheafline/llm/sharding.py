@@ -66,7 +66,7 @@ def place(spark: SparkSession, documents: DataFrame, shards: int = SHARDS, overs
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     extra = [F.col(c).alias(f"carry_{c}") for c in carry]
     rows = documents.select(F.col("doc_id").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("k"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("d"), *extra)
-    light = rows.select("k", "d", "size")
+    light = scratch.put(rows.select("k", "d", "size"), "light")
     total, n = light.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     if not n:
         return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), *[F.col(f"carry_{c}").alias(c) for c in carry])
