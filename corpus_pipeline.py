@@ -39,7 +39,8 @@ def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows as often as the temperature mixture uses them."""
-    return mixing.mix(spark, docs, carry=COLUMNS[1:2] + COLUMNS[2:3] + ("n_chars",)).select(*COLUMNS)
+    named = docs.withColumn("found_source", F.col("source"))  # the operator's own source column has no nulls
+    return mixing.mix(spark, named, carry=("text", "lang", "found_source", "n_chars")).withColumn("source", F.col("found_source")).select(*COLUMNS)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
