@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from ..plans.registry import query
 from ..sources.adapters import boxes, read, regions, with_cte
 
-PAGE = Window.partitionBy("doc_id", "page").orderBy("y0", "pos")
-PAGE_ALL = Window.partitionBy("doc_id", "page")
+
+def on_page():
+    """Boxes of a page from the top down."""
+    return Window.partitionBy("doc_id", "page").orderBy("y0", "pos")
+
 
 CLASS_SQL = """CASE kind WHEN 'image' THEN CASE WHEN has_bytes AND confidence >= 0.5 THEN 'embedded_image' WHEN w * h > 8000 THEN 'unknown' ELSE 'ignore' END
  WHEN 'table' THEN CASE WHEN chars > 0 THEN 'table' WHEN w * h > 8000 THEN 'table' ELSE 'ignore' END WHEN 'formula' THEN CASE WHEN w * h > 500 THEN 'formula' ELSE 'ignore' END
@@ -75,7 +78,7 @@ def routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_cte("bx", "SELECT doc_id, page, max(widest)::DOUBLE AS widest, min(x0) AS band_left, max(x1) AS band_right FROM (SELECT *, max(x1 - x0) OVER (PARTITION BY doc_id, page) AS widest FROM bx) WHERE x1 - x0 >= 0.75 * widest GROUP BY doc_id, page"))
 def text_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extent of the boxes of three quarters of the greatest width or more."""
-    rows = boxes(spark, sf_dir).withColumn("widest", F.max(F.col("x1") - F.col("x0")).over(PAGE_ALL)).where("x1 - x0 >= 0.75 * widest")
+    rows = boxes(spark, sf_dir).withColumn("widest", F.max(F.col("x1") - F.col("x0")).over(Window.partitionBy("doc_id", "page"))).where("x1 - x0 >= 0.75 * widest")
     return rows.groupBy("doc_id", "page").agg(F.max("widest").alias("widest"), F.min("x0").alias("band_left"), F.max("x1").alias("band_right"))
 
 
@@ -92,8 +95,8 @@ BREAK_SQL = "CASE WHEN px1 IS NULL OR y0 - py1 > 28 OR greatest(0, least(x1, px1
 )
 def callout_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of boxes that are near below each other and overlap across."""
-    rows = boxes(spark, sf_dir).withColumn("px0", F.lag("x0").over(PAGE)).withColumn("px1", F.lag("x1").over(PAGE)).withColumn("py1", F.lag("y1").over(PAGE))
-    rows = rows.withColumn("new", F.expr(BREAK_SQL)).withColumn("cluster", F.sum("new").over(PAGE))
+    rows = boxes(spark, sf_dir).withColumn("px0", F.lag("x0").over(on_page())).withColumn("px1", F.lag("x1").over(on_page())).withColumn("py1", F.lag("y1").over(on_page()))
+    rows = rows.withColumn("new", F.expr(BREAK_SQL)).withColumn("cluster", F.sum("new").over(on_page()))
     g = rows.groupBy("doc_id", "page", "cluster").agg(F.count("*").alias("members"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")).where("members >= 2")
     return g.withColumn("callout", F.concat(F.lit("callout-p"), F.col("page").cast("string"), F.lit("-g"), F.col("cluster").cast("string")))
 
@@ -111,8 +114,8 @@ MERGED_SQL = """SELECT doc_id, page, grp, min(y0) AS y0, max(y1) AS y1, count(*)
 
 
 def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = boxes(spark, sf_dir).withColumn("reach", F.max("y1").over(PAGE.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.withColumn("grp", F.sum(F.when(F.col("reach").isNull() | (F.col("y0") > F.col("reach") + 5), 1).otherwise(0)).over(PAGE))
+    rows = boxes(spark, sf_dir).withColumn("reach", F.max("y1").over(on_page().rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("grp", F.sum(F.when(F.col("reach").isNull() | (F.col("y0") > F.col("reach") + 5), 1).otherwise(0)).over(on_page()))
     return rows.groupBy("doc_id", "page", "grp").agg(F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.count("*").alias("boxes"))
 
 

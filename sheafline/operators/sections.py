@@ -9,8 +9,16 @@ from ..functions import text as T
 from ..plans.registry import query
 from ..sources.adapters import headings, md_lines, read, with_cte
 
-DOC = Window.partitionBy("doc_id").orderBy("pos")
-BEFORE = DOC.rowsBetween(Window.unboundedPreceding, -1)
+
+def in_order():
+    """Lines of a document in order."""
+    return Window.partitionBy("doc_id").orderBy("pos")
+
+
+def before():
+    """The lines before a line."""
+    return in_order().rowsBetween(Window.unboundedPreceding, -1)
+
 
 KIND_SQL = r"""CASE WHEN regexp_matches(line, '^#{1,6}\s+') THEN 'heading' WHEN regexp_matches(line, '^\d+(\.\d+){0,2}\s+.+$') AND length(line) <= 120 THEN 'heading'
  WHEN regexp_matches(line, '\p{L}') AND length(line) <= 90 AND NOT regexp_matches(line, '[.;!?]$') AND NOT contains(line, ':') AND line = upper(line) THEN 'heading'
@@ -34,9 +42,9 @@ def kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def line_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kind of each line, table runs as one block, heading level by the blocks before it."""
-    rows = kinds(spark, sf_dir).withColumn("prev", F.lag("kind").over(DOC))
+    rows = kinds(spark, sf_dir).withColumn("prev", F.lag("kind").over(in_order()))
     new = F.when((F.col("kind") == "row") & (F.col("prev") == "row"), 0).otherwise(1)
-    rows = rows.withColumn("new", new).withColumn("run", F.sum("new").over(DOC)).withColumn("before", F.coalesce(F.sum("new").over(BEFORE), F.lit(0)))
+    rows = rows.withColumn("new", new).withColumn("run", F.sum("new").over(in_order())).withColumn("before", F.coalesce(F.sum("new").over(before()), F.lit(0)))
     number = F.regexp_extract("line", r"^[\d.]+", 0)
     dots = F.length(number) - F.length(F.replace(number, F.lit("."), F.lit("")))
     level = F.when(F.col("line").startswith("#"), F.length(F.regexp_extract("line", "^#+", 0))).when(F.col("line").rlike(r"^\d"), F.least(F.lit(4), dots + 2)).otherwise(F.when(F.col("before") == 0, 1).otherwise(2))
@@ -54,7 +62,7 @@ def line_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
 def section_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parent of a heading is the nearest heading before it with a smaller level."""
     hd = headings(spark, sf_dir)
-    last = {k: F.max(F.when(F.col("level") == k, F.col("pos"))).over(BEFORE) for k in range(1, 5)}
+    last = {k: F.max(F.when(F.col("level") == k, F.col("pos"))).over(before()) for k in range(1, 5)}
     return hd.select("doc_id", "pos", "level", F.greatest(*[F.when(F.col("level") > k, v) for k, v in last.items()]).alias("parent"))
 
 
@@ -84,7 +92,7 @@ def section_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_cte("hd", "SELECT doc_id, pos, level, prev FROM (SELECT *, lag(level) OVER (PARTITION BY doc_id ORDER BY pos) AS prev FROM hd) WHERE level > prev + 1"))
 def heading_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A heading more than one level below the heading before it."""
-    return headings(spark, sf_dir).withColumn("prev", F.lag("level").over(DOC)).where("level > prev + 1").select("doc_id", "pos", "level", "prev")
+    return headings(spark, sf_dir).withColumn("prev", F.lag("level").over(in_order())).where("level > prev + 1").select("doc_id", "pos", "level", "prev")
 
 
 @query(
@@ -92,7 +100,7 @@ def heading_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def heading_skip_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The level before the first heading is 0, so a first heading of level 2 skips."""
-    rows = headings(spark, sf_dir).withColumn("prev", F.lag("level", 1, 0).over(DOC))
+    rows = headings(spark, sf_dir).withColumn("prev", F.lag("level", 1, 0).over(in_order()))
     return rows.groupBy("doc_id").agg(F.bool_or(F.col("level") > F.col("prev") + 1).alias("skips"), (F.count_if(F.col("level") == 1) > 1).alias("many_h1"), (F.min_by("level", "pos") != 1).alias("wrong_first"))
 
 
@@ -114,7 +122,7 @@ def canonical_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def outline_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """out(i) = min(level(i), out(i-1) + 1) as a running minimum of level - position; the first entry is 0."""
     level = F.when(F.col("pos") == 1, 0).otherwise(F.col("level"))
-    out = F.min(level - F.col("pos")).over(DOC) + F.col("pos")
+    out = F.min(level - F.col("pos")).over(in_order()) + F.col("pos")
     return headings(spark, sf_dir).select("doc_id", "pos", F.when(F.col("pos") == 1, 0).otherwise(F.least(F.col("pos") - 1, out)).cast("long").alias("outline"))
 
 
@@ -141,8 +149,8 @@ def paragraph_reflow(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = read(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("w"))
     rows = words.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.floor((F.size("w") + 7) / 8).cast("int") - 1)).alias("k"))
     rows = rows.select("doc_id", F.col("k").cast("long").alias("pos"), F.array_join(F.slice("w", F.col("k") * 8 + 1, F.lit(8)), " ").alias("line"))
-    glue = ~F.col("line").rlike('[.!?:;"]$') & F.coalesce(F.lead("line").over(DOC).rlike("^[a-z]"), F.lit(False))
-    rows = rows.withColumn("glue", glue).withColumn("grp", F.sum(F.when(F.col("glue"), 0).otherwise(1)).over(BEFORE))
+    glue = ~F.col("line").rlike('[.!?:;"]$') & F.coalesce(F.lead("line").over(in_order()).rlike("^[a-z]"), F.lit(False))
+    rows = rows.withColumn("glue", glue).withColumn("grp", F.sum(F.when(F.col("glue"), 0).otherwise(1)).over(before()))
     place = F.row_number().over(Window.partitionBy("doc_id", "grp").orderBy("pos"))
     rows = rows.withColumn("elig", (place % 2 == 1) & F.col("glue"))
     return rows.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if("elig").alias("joins"))
