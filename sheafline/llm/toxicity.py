@@ -105,9 +105,38 @@ def summary(t: Tokens, p: np.ndarray) -> np.ndarray:
     return out
 
 
+def distinct_rows(rows: list[tuple[int, str, int]], sketches: int = 6, shingle: int = 5) -> list[tuple[int, str, int]]:
+    """One row of each group of copies and near-copies with the same label: copies would make their rare words look toxic.
+
+    Rows that share the least hash of their shingles under any of some seeds are one group.
+    """
+    root = list(range(len(rows)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    first: dict[tuple, int] = {}
+    for i, j, data, offsets in text_blocks(pa.array([t or "" for _, t, _ in rows], pa.string())):
+        t = tokenise(data, offsets)
+        roll = Rolling(t.codes[:, 0])
+        for k in range(i, j):
+            lo, hi = int(t.at[k - i]), int(t.at[k - i + 1])
+            start = np.arange(lo, max(lo + 1, hi - shingle + 1)) if hi > lo else np.zeros(0, np.int64)
+            h = roll.at(start, np.minimum(start + shingle, hi))
+            for s in range(sketches):
+                key = (rows[k][2], s, int(mix(h + U64(s * 7919 + 1)).min()) if len(h) else 0)
+                other = first.setdefault(key, k)
+                a, b = find(k), find(other)
+                root[max(a, b)] = min(a, b)
+    return [r for k, r in enumerate(rows) if find(k) == k]
+
+
 def train(rows: list[tuple[int, str, int]], prior: float | None = None) -> Model:
     """Fit on (doc_id, text, toxic); prior: the share of toxic rows that scores are weighted to. Without rows of both labels every score is the share of toxic rows, halved towards 0."""
-    rows = sorted(rows, key=lambda r: (r[0], r[1]))
+    rows = distinct_rows(sorted(rows, key=lambda r: (r[0], r[1] or "")))
     data = pa.array([t or "" for _, t, _ in rows], pa.string())
     toxic = np.array([y for *_, y in rows], np.int64)
     if not len(rows) or toxic.min() == toxic.max():
