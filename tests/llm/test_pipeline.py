@@ -64,6 +64,7 @@ def test_run_and_names(spark, tmp_path):
 
 
 def test_entry_without_the_subpackage(tmp_path):
+    import os
     import shutil
     import subprocess
     import sys
@@ -73,4 +74,4 @@ def test_entry_without_the_subpackage(tmp_path):
     shutil.copytree(root / "sheafline", tmp_path / "sheafline", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert not any(n.startswith('op') for n in e.queries()); assert set(e.oracle_sql()) <= set(e.queries()); print(len(e.queries()))"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin"})
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": ""})
