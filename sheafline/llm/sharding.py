@@ -28,7 +28,8 @@ def range_number(bounds: list[Key]) -> Column:
     """Number of boundaries at or before (k, d), by bisection of a constant array."""
     if not bounds:
         return F.lit(0)
-    ks, ds = F.array(*[F.lit(k).cast("long") for k, _ in bounds]), F.array(*[F.lit(d).cast("long") for _, d in bounds])
+    constant = lambda part: F.split(F.lit(",".join(str(b[part]) for b in bounds)), ",").cast("array<bigint>")  # noqa: E731  folded once
+    ks, ds = constant(0), constant(1)
     k, d = F.col("k"), F.col("d")
 
     def halve(a: Column, _: Column) -> Column:
