@@ -79,14 +79,20 @@ def section_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).replace(", , tree", ", tree").replace("FROM li) , tree", "FROM li), tree")
 )
 def section_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Path from the root; levels strictly rise, so five positions of ancestors hold every path."""
-    tree = section_tree(spark, sf_dir)
-    up, path, depth = tree.select("doc_id", F.col("pos").alias("at"), F.col("parent").alias("next")), F.col("pos").cast("string"), F.lit(1)
-    out = tree.withColumn("path", path).withColumn("depth", depth)
-    for _ in range(4):  # level 5 has at most four ancestors
-        hop = up.select(F.col("doc_id"), F.col("at").alias("parent"), "next")
-        out = out.join(hop, ["doc_id", "parent"], "left").withColumn("depth", F.col("depth") + F.col("parent").isNotNull().cast("int")).withColumn("path", F.when(F.col("parent").isNotNull(), F.concat(F.col("parent").cast("string"), F.lit("/"), F.col("path"))).otherwise(F.col("path"))).withColumn("parent", F.col("next")).drop("next")
-    return out.select("doc_id", "pos", "path", F.col("depth").cast("long").alias("depth"))
+    """Path from the root, without recursion or joins.
+
+    Of the last headings of each level before a heading, those later than all with a smaller level are its ancestors.
+    """
+    rows = headings(spark, sf_dir)
+    for k in range(1, 5):
+        rows = rows.withColumn(f"l{k}", F.max(F.when(F.col("level") == k, F.col("pos"))).over(before()))
+    above, latest = [], F.lit(0).cast("long")
+    for k in range(1, 5):
+        here = F.col(f"l{k}")
+        above.append(F.when((F.col("level") > k) & (here > latest), here.cast("string")))
+        latest = F.greatest(latest, here)
+    parts = F.array_compact(F.array(*above, F.col("pos").cast("string")))
+    return rows.select("doc_id", "pos", F.array_join(parts, "/").alias("path"), F.size(parts).cast("long").alias("depth"))
 
 
 @query(with_cte("hd", "SELECT doc_id, pos, level, prev FROM (SELECT *, lag(level) OVER (PARTITION BY doc_id ORDER BY pos) AS prev FROM hd) WHERE level > prev + 1"))
