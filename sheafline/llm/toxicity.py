@@ -9,6 +9,7 @@ marginal, fitted on the fourth fold, whose documents the field hasn't seen. Ever
 
 from __future__ import annotations
 
+import io
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,7 +26,7 @@ CHAIN = 128
 TABLE = 1 << 17
 PREFIXES = (4, 5, 6)
 #: At most so many training documents of each label, of at most so many bytes each.
-TRAIN_EACH, TRAIN_BYTES = 2000, 10_000
+TRAIN_EACH, TRAIN_BYTES = 1500, 10_000
 #: A word or prefix marks toxic tokens if it is so many times likelier in toxic documents and the likelihood ratio of the
 #: counts is beyond chance for as many words and prefixes as there are (error rate e**-5).
 MARK_RATIO = 10.0
@@ -83,6 +84,18 @@ class Model:
     field: ChainCRF
     logistic: np.ndarray
 
+    def pack(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, emit=self.field.emit, move=self.field.move, start=self.field.start, stop=self.field.stop, logistic=self.logistic)
+        return out.getvalue()
+
+    @staticmethod
+    def unpack(raw: bytes) -> Model:
+        with np.load(io.BytesIO(raw)) as z:
+            field = ChainCRF(2, 1)
+            field.emit, field.move, field.start, field.stop = z["emit"], z["move"], z["start"], z["stop"]
+            return Model(field, z["logistic"])
+
     def marginals(self, t: Tokens) -> np.ndarray:
         if not len(t.starts):
             return np.zeros(0)
@@ -220,14 +233,23 @@ def fold_of(doc_id: str = "doc_id") -> Column:
 
 def learn(spark: SparkSession, documents: DataFrame, labels: DataFrame, each: int = TRAIN_EACH, max_bytes: int = TRAIN_BYTES) -> Model:
     """Train on a bounded sample of the labelled rows outside fold 0: up to ``each`` documents a label, in the order of a
-    hash of the doc_id, with texts of at most ``max_bytes`` bytes. The ids and texts of the sample reach the driver."""
+    hash of the doc_id, with texts of at most ``max_bytes`` bytes. The sample's ids pass the driver; its texts meet in one
+    task, which fits the model and returns it as two megabytes, so the driver's memory doesn't hold the training."""
     y = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     y = y.where(fold_of() != 0).withColumn("h", F.xxhash64("doc_id"))
     share = y.agg(F.avg("toxic")).first()[0]
+    prior = None if share in (None, 0.0, 1.0) else share
     ids = [r for v in (0, 1) for r in y.where(F.col("toxic") == v).orderBy("h", "doc_id").limit(each).collect()]
     chosen = F.broadcast(spark.createDataFrame([(r.doc_id, r.toxic) for r in ids], "doc_id long, toxic int"))  # at most 2 * each rows
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= max_bytes).join(chosen, "doc_id")
-    return train([(r.doc_id, r.text, r.toxic) for r in rows.collect()], None if share in (None, 0.0, 1.0) else share)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = [r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True)]
+        if sample:
+            yield pa.RecordBatch.from_arrays([pa.array([train(sample, prior).pack()], pa.binary())], names=["model"])
+
+    found = rows.select("doc_id", "text", "toxic").repartition(1).mapInArrow(fit, "model binary").first()
+    return Model.unpack(bytes(found.model)) if found else train([])
 
 
 def tag(model_of, documents: DataFrame, spans: bool = True, spark: SparkSession | None = None) -> DataFrame:
