@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from .common import Scratch
 from .units import BYTE_CODES, Rolling, anchors, mix, text_blocks, word_codes, words
 
-BUCKET_LIMIT = 2048
+#: Contexts of one bucket that a task holds, about 10 kB each with the suffix structure. More are solved by counting.
+BUCKET_LIMIT = 8192
 
 
 def keyed(docs: DataFrame) -> DataFrame:
