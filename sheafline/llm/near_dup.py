@@ -6,9 +6,12 @@ shingle of its first arrival. Two documents agree in a register with the probabi
 sets. A process stops as soon as its next arrival is later than every register's first (early termination), so a document
 costs little more than one arrival a shingle.
 
-512 registers are taken as 64 bands of 8. Equal texts are one representative. Representatives that share a band are linked
-by a star, connected classes of these links are the candidate groups (at a similarity of 0.8 a pair shares no band with
-probability 8e-6, and less above). In each group the exact Jaccard similarity of the shingle sets is counted over an
+512 registers are taken as 64 bands of 8. Links are verified by the Jaccard similarity of the shingle sets, which weights can
+hold far above that of the weighted sets; so every document is also banded by registers of unit weight, which agree with
+the probability of just that similarity: at 0.8 a pair shares no band with probability 8e-6, and less above, whatever its
+counts are. Where all shingles of a document are equally frequent both kinds of registers are the same and taken once.
+Equal texts are one representative. Representatives that share a band of either kind are linked by a star, connected
+classes of these links are the candidate groups. In each group the exact Jaccard similarity of the shingle sets is counted over an
 inverted list, and only a spanning forest of the verified links leaves the task. A group with more words than
 ``group_words`` is dealt out as pairs of blocks, whose forests are joined by connected classes again; so no group is
 bounded by a task's memory, no pair is skipped, and pairs are never written out.
@@ -107,23 +110,37 @@ def _first(best: np.ndarray, owner: np.ndarray, slot: np.ndarray, t: np.ndarray,
 
 
 def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """(d, print1, print2, n_words, band hashes) of every document; the prints identify the word sequence."""
+    """(d, print1, print2, n_words, band hashes) of every document; the prints identify the word sequence.
+
+    The bands of unit weight come first; those of the weighted registers follow where they differ.
+    """
     m = bands * rows
 
+    def banded(reg: np.ndarray) -> np.ndarray:
+        seed = mix(np.arange(1, m + 1, dtype=U64))
+        return mix((mix(reg ^ seed[None, :]).reshape(len(reg), bands, rows) * (mix(np.arange(1, rows + 1, dtype=U64)) | U64(1))).sum(2, dtype=U64) + np.arange(bands, dtype=U64)[None, :])
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in text_blocks(batch.column(1), 1 << 20, 1024):
                 codes, at = coded(data, offsets)
                 n_words = np.diff(at)
                 doc, h, count = shingles(codes, at, k)
-                reg = prob_minhash(doc, h, 1.0 + np.log(count), j - i, m)
-                seed = mix(np.arange(1, m + 1, dtype=U64))
-                band = mix((mix(reg ^ seed[None, :]).reshape(j - i, bands, rows) * (mix(np.arange(1, rows + 1, dtype=U64)) | U64(1))).sum(2, dtype=U64) + np.arange(bands, dtype=U64)[None, :])
+                band = np.zeros((j - i, 2 * bands), U64)
+                use = np.zeros((j - i, 2 * bands), bool)
+                band[:, :bands], use[:, :bands] = banded(prob_minhash(doc, h, np.ones(len(doc)), j - i, m)), True
+                # Equal counts only scale the arrival times: the registers are those of unit weight.
+                uneven = np.bincount(doc[count != count[np.searchsorted(doc, doc)]], minlength=j - i) > 0
+                if uneven.any():
+                    on = uneven[doc]
+                    band[uneven, bands:] = banded(prob_minhash((np.cumsum(uneven) - 1)[doc[on]], h[on], 1.0 + np.log(count[on]), int(uneven.sum()), m))
+                    use[uneven, bands:] = band[uneven, bands:] != band[uneven, :bands]
+                listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(use.sum(1))]).astype(np.int32)), pa.array(band[use].view(np.int64)))
                 p1 = Rolling(codes).at(at[:-1], at[1:])
                 placed = mix(codes + (np.arange(len(codes)) - np.repeat(at[:-1], n_words)).astype(U64))
                 p2 = np.add.reduceat(np.append(placed, U64(0)), at[:-1])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(p1.view(np.int64)), pa.array(p2.view(np.int64)), pa.array(n_words.astype(np.int64)), pa.FixedSizeListArray.from_arrays(pa.array(band.reshape(-1).view(np.int64)), bands).cast(pa.list_(pa.int64()))],
+                    [batch.column(0).slice(i, j - i), pa.array(p1.view(np.int64)), pa.array(p2.view(np.int64)), pa.array(n_words.astype(np.int64)), listed],
                     names=["d", "print1", "print2", "n_words", "bands"],
                 )
 

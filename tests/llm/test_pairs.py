@@ -38,6 +38,17 @@ def test_near_duplicates(spark, group_words):
     assert near_dup.near_duplicates(spark, df.limit(0)).count() == 0
 
 
+def test_near_duplicates_that_repeat_differently(spark):
+    rows = []
+    for k in range(24):  # equal shingle sets but for the seam; the weighted similarity is about 0.56
+        passage, rest = [" ".join(f"{c}{k}w{j}" for j in range(n)) for c, n in (("p", 30), ("q", 70))]
+        rows += [(2 * k, f"{passage} {rest}"), (2 * k + 1, f"{passage} " * 300 + rest)]
+    df = spark.createDataFrame([(i, t, "x", "y", "z") for i, t in rows], SCHEMA)
+    want = near_links(rows)
+    assert set(want.values()) == set(range(0, 48, 2))
+    assert {r.doc_id: r.class_id for r in near_dup.near_duplicates(spark, df).collect()} == want
+
+
 def test_prob_minhash_estimates_probability_jaccard():
     rng = np.random.default_rng(1)
     elements = rng.integers(1, 1 << 62, 300).astype(np.uint64)
