@@ -13,7 +13,7 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -92,6 +92,23 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return word_codes(data, starts, ends), at
 
 
+def is_license_file(text: Column) -> Column:
+    """True for a text that is a license and not one that only carries a notice; never null.
+
+    Either its title, the first line that is neither blank nor a copyright line, has at most 12 words with a license word
+    among them or begins as the untitled licenses do; or lines with a license word hold at least half of all words. The
+    number of lines does not matter.
+    """
+    lines = F.filter(F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\r\n]+"), F.trim), lambda x: x.rlike(r"\w"))
+    size = lambda x: F.size(F.split(F.regexp_replace(x, r"^\s+|\s+$", ""), r"\s+"))
+    count = lambda xs: F.aggregate(xs, F.lit(0), lambda n, x: n + size(x))
+    notice = lambda x: x.rlike(r"\blicen[cs]e")
+    title = F.get(F.filter(lines, lambda x: ~x.rlike(r"^\W*(copyright|\(c\)|©|all rights reserved)")), F.lit(0))
+    titled = (notice(title) & (size(title) <= 12)) | title.rlike(r"^\W*(permission is hereby granted|permission to use, copy|redistribution and use in source)")
+    covered = F.exists(lines, notice) & (2 * count(F.filter(lines, notice)) >= count(lines))
+    return F.coalesce(F.when(F.lower(text).rlike("licen[cs]e|permission|redistribution"), F.coalesce(titled, F.lit(False)) | covered), F.lit(False))
+
+
 def frequencies(rows: DataFrame, t: Templates) -> tuple[int, np.ndarray]:
     """(rows, how many rows hold each template term), over all rows."""
     n = len(t.vocabulary)

@@ -59,14 +59,13 @@ def op5_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files of a tree: source, language, a folder of 64 ids. A text of up to three lines that begins with
-    capital L, R or T and holds a license word is taken as its folder's license file."""
-    from .licenses import scan
+    """Documents as files of a tree: source, language, a folder of 64 ids. A text titled as a license, or of which license
+    notices are at least half of the words, is its folder's license file, whatever its length."""
+    from .licenses import is_license_file, scan
 
     docs = table(spark, sf_dir, "documents")
     path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.floor(F.col("doc_id") / 64).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    lead = F.split(F.coalesce("text", F.lit("")), "\n")
-    files = docs.select("doc_id", "text", path.alias("path"), (F.lower(F.get(lead, F.lit(0))).rlike("licen[cs]e") & (F.size(lead) <= 3)).alias("is_license_file"))
+    files = docs.select("doc_id", "text", path.alias("path"), is_license_file(F.col("text")).alias("is_license_file"))
     return scan(spark, files, carry=("doc_id",)).withColumn("similarity", F.round("similarity", 6))
 
 

@@ -133,6 +133,32 @@ def test_licenses(spark):
     assert licenses.scan(spark, df.limit(0)).count() == 0
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, subject to the following conditions:
+
+The above copyright notice shall be included in all copies of the Software.
+""" + "THE SOFTWARE IS PROVIDED AS IS.\n" * 12
+
+
+def test_whole_license_texts_are_license_files(spark, tmp_path):
+    from sheafline.llm import queries
+
+    prose = "calm words of a story that goes on\n" * 5
+    apache = "\n\n    Apache License\n    Version 2.0, January 2004\n" + "terms and conditions of use\n" * 200 + 'Licensed under the Apache License, Version 2.0 (the "License");'
+    texts = {0: MIT, 1: "print(1)", 64: apache, 65: prose, 128: prose + "Released under the MIT License.", 129: prose, 192: "short\nReleased under the MIT License.", 193: None, 256: "", 257: prose + "license " * 3, 320: "Copyright 2020 X\n\n" + MIT.split("\n\n", 2)[2], 321: prose}
+    spark.createDataFrame([(i, t, "en", "s") for i, t in texts.items()], "doc_id long, text string, lang string, source string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    marked = {r.doc_id for r in spark.createDataFrame(list(texts.items()), "doc_id long, text string").where(licenses.is_license_file(queries.F.col("text"))).collect()}
+    assert marked == {0, 64, 192, 320}
+    got = {r.doc_id: (r.license, r.license_from) for r in queries.op6_license_tfidf(spark, f"file://{tmp_path}").collect()}
+    assert got[1] == ("MIT", "s/en/0") and got[65] == ("Apache-2.0", "s/en/1") and got[193] == ("MIT", "s/en/3")
+    assert got[128] == ("MIT", ".") and got[129] == got[257] == (None, None)
+
+
 def test_cosine_against_plain():
     t = licenses.Templates({"A": "alpha beta beta", "B": "gamma beta"})
     t.weigh(10, np.array([1] * len(t.vocabulary)))
