@@ -25,10 +25,11 @@ TABLE = 1 << 14
 
 # HTML elements by their role in the text flow.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template svg math iframe object canvas audio video head textarea select title".split())
+HIDDEN = frozenset("script style noscript template svg annotation annotation-xml iframe object canvas audio video head textarea select title".split())
 RAW = frozenset("script style textarea title".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr"
+    " math maction merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
 # Elements that a new element of the key closes when they are open.
 CLOSES = {"p": ("p",), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",)}
@@ -38,7 +39,9 @@ ENDS_P = HEADINGS | frozenset("address article aside blockquote details div dl f
 BARRIER = frozenset("ul ol dl table body html article section main div nav aside footer header form blockquote".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: Name and value of every attribute in turn, so that a value is never read as a name.
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+NAMING = frozenset("class id role itemprop".split())
 ATTRIBUTE_WORD = re.compile(r"[a-z]+")
 
 
@@ -58,7 +61,7 @@ def _attributes(raw: str) -> tuple[str, ...] | None:
         name = m[1].lower()
         if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value):
             return None
-        if name != "style":
+        if name in NAMING:
             spaced = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", m[2] or m[3] or m[4] or "").lower()
             found += ATTRIBUTE_WORD.findall(spaced)
     return tuple(dict.fromkeys(found))

@@ -86,6 +86,17 @@ def test_html(spark):
     assert dom_crf.extract(spark, df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("attribute", ['aria-hidden="false"', 'data-hidden="0"', 'title="the hidden cost"', "data-title='Hidden gems'", 'aria-label="Hidden Figures"', "href=/a/hidden"])
+def test_hidden_inside_other_attributes(attribute):
+    found = dom_crf.blocks(f"<article {attribute}><p>Some <a {attribute}>linked</a> words.</p><p hidden>no</p><p class=x HIDDEN=''>no</p></article>")
+    assert [b.text for b in found] == ["Some linked words."]
+
+
+def test_math_text_is_kept():
+    page = "<article><h1>A title of it</h1><p>Let <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x=2</annotation></semantics></math> be so, in words.</p></article>"
+    assert dom_crf.main_texts(dom_crf.train(), [page]) == ["A title of it Let x=2 be so, in words."]
+
+
 def test_html_held_out_accuracy():
     model = dom_crf.train()
     held = dom_crf.training_pages(seed=1234, count=300)
