@@ -7,7 +7,7 @@ phrase, is intersected with the next rarer term's list, and so on, until the lis
 Test items are taken in blocks of bounded size, so what every task holds does not grow with the corpus.
 
 :func:`decontaminate` returns exact phrase matches by document, :func:`proximity` those documents and places where all
-terms of a phrase stand within a span, in any order.
+terms of a phrase, as often as it has them, stand within a span, in any order.
 """
 
 from __future__ import annotations
@@ -81,6 +81,16 @@ class Phrases:
         for k, (t, o) in enumerate(zip(self.terms, self.order, strict=True)):
             self.offset[k, : len(o)], self.term[k, : len(o)] = o, t[o]
 
+    def needs(self) -> None:
+        """Distinct terms of each phrase with their counts, rarest first."""
+        listed = [[*dict.fromkeys(t[o].tolist())] for t, o in zip(self.terms, self.order, strict=True)]
+        self.need = [{x: int((t == x).sum()) for x in xs} for t, xs in zip(self.terms, listed, strict=True)]
+        width = max((len(x) for x in listed), default=1)
+        self.distinct = np.full((len(listed), width), -2, np.int64)
+        self.times = np.zeros((len(listed), width), np.int64)
+        for k, n in enumerate(self.need):
+            self.distinct[k, : len(n)], self.times[k, : len(n)] = list(n), list(n.values())
+
 
 class Postings:
     """Positional index of one block of documents over the test terms."""
@@ -124,6 +134,50 @@ class Postings:
         ok = self.term_of[s + p.offset[w, 0]] == p.term[w, 0] if len(w) else np.zeros(0, bool)
         return w[ok], s[ok]
 
+    def near(self, p: Phrases, span: int) -> set[tuple[int, int, int]]:
+        """(phrase, first, last) of every minimal interval of at most ``span`` words of one document that holds all terms.
+
+        Each holds an occurrence of the phrase's rarest term; those with too few of another term within reach, rarest
+        first, are dropped, and a window slides over the merged lists around the others.
+        """
+        which, middle = [], []
+        for t in np.flatnonzero(np.diff(self.begin)).tolist():
+            if ks := p.by_first.get(t):
+                at = self.of(t)
+                which.append(np.repeat(np.array(ks), len(at)))
+                middle.append(np.tile(at, len(ks)))
+        if not which:
+            return set()
+        w, m = np.concatenate(which), np.concatenate(middle)
+        doc = np.searchsorted(self.offsets, m, "right") - 1
+        lo, hi = np.maximum(m - span + 1, self.offsets[doc]), np.minimum(m + span, self.offsets[doc + 1])
+        n = len(self.term_of) + 1
+        key = self.term_of[self.positions].astype(np.int64) * n + self.positions  # sorted
+        for k in range(p.distinct.shape[1]):
+            if not len(w):
+                break
+            t = p.distinct[w, k]
+            many = np.searchsorted(key, t * n + hi) - np.searchsorted(key, t * n + lo)
+            ok = (t == -2) | (many >= p.times[w, k])
+            w, lo, hi = w[ok], lo[ok], hi[ok]
+        out: set[tuple[int, int, int]] = set()
+        for k, a, b in zip(w.tolist(), lo.tolist(), hi.tolist(), strict=True):
+            need, have, missing, window, first = p.need[k], {}, len(p.need[k]), self.term_of[a:b].tolist(), 0
+            for last, t in enumerate(window):
+                if t not in need:
+                    continue
+                have[t] = have.get(t, 0) + 1
+                missing -= have[t] == need[t]
+                if missing:
+                    continue
+                while (x := window[first]) not in need or have[x] > need[x]:
+                    if x in need:
+                        have[x] -= 1
+                    first += 1
+                if have[t] == need[t] and last - first < span:  # else a shorter interval ends before
+                    out.add((k, a + first, a + last))
+        return out
+
 
 def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[object, str | None]]]:
     """Items in runs of about ``limit`` words; read row by row, never all at once."""
@@ -231,12 +285,14 @@ def _ordered(docs: DataFrame, items: list, window: int) -> Phrases:
 def proximity(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, span: int = 20, window: int = WINDOW, block_terms: int = BLOCK_TERMS) -> DataFrame:
     """(doc_id, item_id as string, start, end): places where all terms of a test phrase stand within ``span`` words.
 
-    Order is free; each place is the neighbourhood of an occurrence of the phrase's rarest term. Null texts have none.
+    Order is free; a term that the phrase has twice must stand there twice. Each place is a minimal covering interval: none
+    inside it holds all terms. Null texts have none; repeated rows give equal rows.
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
     out = None
     for items in _blocks(benchmark, block_terms):
         p = _ordered(documents, items, window)
+        p.needs()
 
         def emit(batches: Iterator[pa.RecordBatch], p=p) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -245,28 +301,13 @@ def proximity(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, s
                 for i, _, data, offsets in text_blocks(batch.column(1)):
                     codes, at = tokens(data, offsets)
                     index = Postings(p.lookup(codes), at, len(p.vocabulary))
-                    for k, terms in enumerate(p.terms):
-                        near = index.of(int(p.term[k, 0]))
-                        doc = np.searchsorted(at, near, "right") - 1
-                        lo, hi = np.maximum(near - span + 1, at[doc]), np.minimum(near + span, at[doc + 1])
-                        first, last = near.copy(), near.copy()
-                        for t in sorted({*terms.tolist()}):
-                            if not len(near):
-                                break
-                            post = index.of(t)
-                            a, b = np.searchsorted(post, near, "right") - 1, np.searchsorted(post, near, "left")
-                            before = np.where(a >= 0, post[np.maximum(a, 0)], -1) if len(post) else np.full(len(near), -1)
-                            after = np.where(b < len(post), post[np.minimum(b, len(post) - 1)], 1 << 60) if len(post) else np.full(len(near), 1 << 60)
-                            back, on = np.where(before >= lo, near - before, 1 << 60), np.where(after < hi, after - near, 1 << 60)
-                            ok = np.minimum(back, on) < span
-                            pick = np.where(back <= on, before, after)
-                            first, last = np.minimum(first, pick)[ok], np.maximum(last, pick)[ok]
-                            near, lo, hi, doc = near[ok], lo[ok], hi[ok], doc[ok]
-                        ok = last - first < span
-                        for d, s, e in zip(doc[ok].tolist(), first[ok].tolist(), last[ok].tolist(), strict=True):
-                            rows += [(ids[i + d].as_py(), p.ids[x], s - int(at[d]), e + 1 - int(at[d])) for x in p.items[k]]
+                    found: set[tuple[int, object, int, int]] = set()
+                    for k, s, e in index.near(p, span):
+                        d = int(np.searchsorted(at, s, "right")) - 1
+                        found |= {(i + d, p.ids[x], s - int(at[d]), e + 1 - int(at[d])) for x in p.items[k]}
+                    rows += [(ids[x[0]].as_py(), *x[1:]) for x in sorted(found)]
                 if rows:
-                    cols = list(zip(*sorted(set(rows), key=str), strict=True))
+                    cols = list(zip(*rows, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(cols[0], ids.type), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], names=["doc_id", "item_id", "start", "end"])
 
         part = documents.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(emit, f"doc_id {kind}, item_id string, start int, end int")

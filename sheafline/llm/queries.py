@@ -46,6 +46,13 @@ def op10_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op10_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proximity half of op10: a query of its own, as op10's columns are those of its SQL."""
+    from .positional_index import proximity
+
+    return proximity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_substring_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_tree import deduplicate
 

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -98,3 +99,22 @@ def test_proximity(spark):
     bench = spark.createDataFrame([(7, "Alpha beta gamma")], "item_id long, text string")
     got = [tuple(r) for r in positional_index.proximity(spark, docs, bench, span=8).collect()]
     assert got == [(1, "7", 1, 6)]
+
+
+def test_proximity_against_brute_force(spark):
+    r = random.Random(5)
+    text = lambda n: " ".join(r.choice("aaabbbccdef") for _ in range(n))
+    # In the first document gamma is the rarest term, and alpha stands on both sides of it.
+    rows = [(0, "alpha p p p p gamma p p p p p alpha beta"), (1, "alpha beta alpha beta"), (2, None), *[(i, text(r.randint(0, 60))) for i in range(3, 60)]]
+    rows.append(rows[9])
+    items = [(7, "Alpha beta gamma"), *[(i, text(r.randint(1, 6))) for i in range(10, 22)]]
+    want = Counter()
+    for i, t in rows:
+        w = (t or "").split()
+        for item, phrase in items:
+            need = Counter(phrase.lower().split())
+            holds = lambda a, b, w=w, need=need: not need - Counter(w[a:b])
+            want.update({(i, str(item), a, b) for a in range(len(w)) for b in range(a + 1, min(len(w), a + 8) + 1) if holds(a, b) and not holds(a + 1, b) and not holds(a, b - 1)})
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert want[0, "7", 5, 13] == 1
+    assert Counter(tuple(r) for r in positional_index.proximity(spark, docs, bench, span=8).collect()) == want
