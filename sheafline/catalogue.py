@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .operators import dedup, elements, folds, history, layout, obligations, render, scans, sections, tables  # noqa: F401  they register their queries
+from .operators import dedup, elements, folds, history, items, layout, obligations, planning, render, scans, sections, tables  # noqa: F401  they register their queries
 from .plans.registry import ORACLES, QUERIES, Query
 
 

@@ -1,95 +1,12 @@
-"""Obligations and plans: derivation, closure, cycles, methods, facts, plan comparison and replay."""
+"""Methods of obligations, symbols and the binding of plans."""
 
 from __future__ import annotations
 
-import heapq
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
-from ..sources.adapters import headings, html_elements, lines, methods, obligations, with_cte
-from .elements import element_type
-
-# Methods of an obligation kind and default costs; a method without one costs 50.
-SPEC = (("page_footer", "describe-image", "vision-description"), ("page_footer", "describe-image", "human-review"), ("unknown", "review-structure", "docling-retry"), ("unknown", "review-structure", "pymupdf-region"), ("unknown", "review-structure", "human-review"), ("title", "repair-heading", "new-method"))
-COSTS = (("vision-description", 20), ("docling-retry", 25), ("pymupdf-region", 30), ("human-review", 100))
-
-_SPEC_SQL = "spec(type, kind, method) AS (VALUES " + ", ".join(str(x) for x in SPEC) + "), costs(method, cost) AS (VALUES " + ", ".join(str(x) for x in COSTS) + ")"
-
-
-def _key(*cols: str):
-    return Window.partitionBy(*cols)
-
-
-@query(
-    with_cte(
-        "el",
-        f""", {_SPEC_SQL} SELECT page_id, kind, method, coalesce(cost, 50)::BIGINT AS cost, count(*)::BIGINT AS n FROM (SELECT page_id, CASE label WHEN 'h1' THEN 'title' WHEN 'footer' THEN 'page_footer' WHEN 'b' THEN 'unknown' END AS type FROM el)
-        JOIN spec USING (type) LEFT JOIN costs USING (method) GROUP BY ALL""",
-    ).replace(") , spec", "), spec")
-)
-def obligations_from_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Work items by element type with their methods; the two dimension tables have six rows at most."""
-    el = html_elements(spark, sf_dir).select("page_id", element_type(F.col("label")).alias("type"))
-    spec = F.broadcast(spark.createDataFrame(SPEC, "type string, kind string, method string"))
-    cost = F.broadcast(spark.createDataFrame(COSTS, "method string, cost long"))
-    n = el.groupBy("page_id", "type").agg(F.count("*").alias("n"))
-    return n.join(spec, "type").join(cost, "method", "left").groupBy("page_id", "kind", "method", F.coalesce("cost", F.lit(50).cast("long")).alias("cost")).agg(F.sum("n").alias("n"))
-
-
-@query(
-    with_cte(
-        "ob",
-        """SELECT DISTINCT doc_id, pos FROM closure""",
-        True,
-    ).replace(
-        "SELECT DISTINCT",
-        """, closure AS (SELECT doc_id, pos, dep FROM ob WHERE CASE WHEN (SELECT bool_or(x.selected) FROM ob x WHERE x.doc_id = ob.doc_id) THEN selected ELSE NOT satisfied END
-        UNION ALL SELECT ob.doc_id, ob.pos, ob.dep FROM ob JOIN closure ON ob.doc_id = closure.doc_id AND ob.pos = closure.dep) SELECT DISTINCT""",
-        1,
-    ).replace(") , closure", "), closure")
-)
-def obligation_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G1, U4: selected obligations, else all open ones, with all that they depend on.
-
-    A dependency is the obligation just before, so a chain is a run of positions and its members up to a root are one
-    window: closure without recursion.
-    """
-    ob = obligations(spark, sf_dir)
-    any_selected = F.bool_or("selected").over(_key("doc_id"))
-    ob = ob.withColumn("root", F.when(any_selected, F.col("selected")).otherwise(~F.col("satisfied")))
-    by = Window.partitionBy("doc_id").orderBy("pos")
-    ob = ob.withColumn("chain", F.sum(F.when(F.col("dep").isNull(), 1).otherwise(0)).over(by))
-    last = F.max(F.when(F.col("root"), F.col("pos"))).over(_key("doc_id", "chain"))
-    return ob.withColumn("last", last).where("pos <= last").select("doc_id", "pos")
-
-
-@query(
-    with_cte("ob", """SELECT doc_id, count(*)::BIGINT AS nodes FROM (SELECT *, sum(CASE WHEN dep IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS chain, max(pos) OVER (PARTITION BY doc_id) AS n FROM ob)
-    WHERE chain = 1 AND doc_id % 97 = 0 GROUP BY doc_id HAVING count(*) > 1""")
-)
-def dependency_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A back edge from the first obligation to the last of its chain is injected in every 97th document; the cycle's
-    nodes are found by walking dependencies with a fixed number of doubling steps."""
-    ob = obligations(spark, sf_dir).where("doc_id % 97 = 0")
-    by = Window.partitionBy("doc_id").orderBy("pos")
-    ob = ob.withColumn("chain", F.sum(F.when(F.col("dep").isNull(), 1).otherwise(0)).over(by))
-    end = F.max("pos").over(_key("doc_id", "chain"))
-    edge = ob.select("doc_id", "pos", F.when((F.col("pos") == 1) & (end > 1), end).otherwise(F.col("dep")).alias("to"))
-    hop = edge
-    for _ in range(4):  # 16 steps: chains have at most 13 nodes
-        hop = hop.select("doc_id", "pos", F.col("to").alias("mid")).join(hop.select("doc_id", F.col("pos").alias("mid"), "to"), ["doc_id", "mid"], "left").select("doc_id", "pos", "to")
-    return hop.where("to IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("nodes"))
-
-
-@query(with_cte("ob", "SELECT a.doc_id, a.pos, a.dep FROM ob a JOIN ob b ON a.doc_id = b.doc_id AND a.dep = b.pos WHERE a.satisfied AND NOT b.satisfied"))
-def causal_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Satisfied obligations whose dependency is not; the dependency is the row before, so no self join."""
-    by = Window.partitionBy("doc_id").orderBy("pos")
-    return obligations(spark, sf_dir).withColumn("before", F.lag("satisfied").over(by)).where("satisfied AND dep IS NOT NULL AND NOT before").select("doc_id", "pos", "dep")
-
+from ..sources.adapters import lines, methods, with_cte
 
 @query(with_cte("me", "SELECT doc_id, pos, method, cost FROM me WHERE available AND NOT tried"))
 def candidate_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,163 +34,79 @@ def replan_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("doc_id", "pos", F.array_join(F.transform("c", lambda x: x["method"]), ",").alias("methods"))
 
 
-@query(
-    with_cte(
-        "ob",
-        """SELECT doc_id, string_agg(fact, chr(10) ORDER BY pos, ord) AS problem, count(*)::BIGINT AS facts FROM (
-        SELECT doc_id, pos, 1 AS ord, '(obligation o' || pos || ')' AS fact FROM ob UNION ALL SELECT doc_id, pos, 2, '(satisfied o' || pos || ')' FROM ob WHERE satisfied
-        UNION ALL SELECT doc_id, pos, 3, '(pending o' || pos || ')' FROM ob WHERE NOT satisfied UNION ALL SELECT doc_id, pos, 4, '(depends o' || pos || ' o' || dep || ')' FROM ob WHERE dep IS NOT NULL) GROUP BY doc_id""",
-    )
-)
-def problem_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts of each obligation in a fixed order, as one text a document."""
-    name = F.concat(F.lit("o"), F.col("pos").cast("string"))
-    fact = lambda *x: F.concat(*x)
-    facts = F.array_compact(
-        F.array(
-            fact(F.lit("(obligation "), name, F.lit(")")),
-            F.when(F.col("satisfied"), fact(F.lit("(satisfied "), name, F.lit(")"))).otherwise(fact(F.lit("(pending "), name, F.lit(")"))),
-            F.when(F.col("dep").isNotNull(), fact(F.lit("(depends "), name, F.lit(" o"), F.col("dep").cast("string"), F.lit(")"))),
-        )
-    )
-    rows = obligations(spark, sf_dir).select("doc_id", F.struct("pos", facts.alias("f")).alias("p")).groupBy("doc_id").agg(F.array_sort(F.collect_list("p")).alias("p"))
-    flat = F.flatten(F.transform("p", lambda x: x["f"]))
-    return rows.select("doc_id", F.array_join(flat, "\n").alias("problem"), F.size(flat).cast("long").alias("facts"))
-
-
-@query(with_cte("ob", """SELECT doc_id, sum(length(f) - length(replace(f, '(', '')))::BIGINT AS opened, sum(length(f) - length(replace(f, ')', '')))::BIGINT AS closed, bool_or(contains(f, 'pending')) AS has_pending FROM (
-    SELECT doc_id, '(obligation o' || pos || ')' || CASE WHEN satisfied THEN '(satisfied o' || pos || ')' ELSE '(pending o' || pos || ')' END || coalesce('(depends o' || pos || ' o' || dep || ')', '') AS f FROM ob) GROUP BY doc_id"""))
-def problem_text_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Balanced parentheses and required fragments of the compiled text."""
-    p = problem_facts(spark, sf_dir)
-    count = lambda c: (F.length("problem") - F.length(F.translate("problem", c, ""))).cast("long")
-    return p.select("doc_id", count("(").alias("opened"), count(")").alias("closed"), F.col("problem").contains("pending").alias("has_pending"))
-
-
-@query()
-def plan_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Steps in the order in which the least ready obligation is taken; a fold a document.
-
-    Names sort as text, so o10 goes before o2 when both are ready.
-    """
-
-    def order(rows: list[dict]) -> list[int]:
-        after: dict[int, list[int]] = {}
-        done = {r["pos"] for r in rows if r["satisfied"]}
-        ready = []
-        for r in rows:
-            if r["satisfied"]:
-                continue
-            if r["dep"] is None or r["dep"] in done:
-                ready.append((f"o{r['pos']}", r["pos"]))
-            else:
-                after.setdefault(r["dep"], []).append(r["pos"])
-        heapq.heapify(ready)
-        out = []
-        while ready:
-            _, p = heapq.heappop(ready)
-            out.append(p)
-            for q in after.pop(p, []):
-                heapq.heappush(ready, (f"o{q}", q))
-        return out
-
-    def fold(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([order(r) for r in batch.column(1).to_pylist()], pa.list_(pa.int64()))], names=["doc_id", "steps"])
-
-    # A document's obligations are one array, so a task folds many documents a batch.
-    jobs = obligations(spark, sf_dir).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "dep", "satisfied")).alias("rows"))
-    return jobs.mapInArrow(fold, "doc_id long, steps array<long>").select("doc_id", F.posexplode("steps").alias("step", "pos")).select("doc_id", F.col("step").cast("long").alias("step"), "pos")
-
-
-@query()
-def execution_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replay of each document's steps; a tried method fails, and the first failure ends the run."""
-    steps = cheapest_method(spark, sf_dir).join(obligations(spark, sf_dir).select("doc_id", "pos", "satisfied", "rf"), ["doc_id", "pos"])
-    by = Window.partitionBy("doc_id").orderBy("pos")
-    failed = F.max(F.when((F.col("rf") == "R") & ~F.col("satisfied"), 1).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    status = F.when(F.coalesce(failed, F.lit(0)) == 1, "skipped").when(F.col("satisfied"), "already").when(F.col("rf") == "R", "failed").otherwise("succeeded")
-    return steps.withColumn("status", status).groupBy("doc_id").agg(F.count_if(F.col("status") == "succeeded").alias("succeeded"), F.count_if(F.col("status") == "failed").alias("failed"), F.count_if(F.col("status") == "skipped").alias("skipped"))
+@query(with_cte("me", "SELECT doc_id, pos, string_agg(method, ',' ORDER BY method) AS bad FROM (SELECT doc_id, pos, CASE WHEN cost % 13 = 0 THEN 'x-' || method ELSE method END AS method FROM me) WHERE method LIKE 'x-%' GROUP BY doc_id, pos"))
+def cost_key_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cost keys that are no admissible method (injected where the cost is a multiple of 13)."""
+    m = methods(spark, sf_dir).withColumn("key", F.when(F.col("cost") % 13 == 0, F.concat(F.lit("x-"), "method")).otherwise(F.col("method")))
+    keys = m.groupBy("doc_id", "pos").agg(F.collect_set("key").alias("k")).withColumn("bad", F.array_sort(F.array_except("k", F.array(F.lit("m1"), F.lit("m2"), F.lit("m3")))))
+    return keys.where("size(bad) > 0").select("doc_id", "pos", F.array_join("bad", ",").alias("bad"))
 
 
-PLANS_SQL = """, p1 AS (SELECT doc_id, pos, arg_min(method, (cost, method)) AS method, min(cost) AS cost FROM me WHERE available AND NOT tried GROUP BY doc_id, pos),
- p2 AS (SELECT doc_id, pos, min(method) AS method, arg_min(cost, method) AS cost FROM me WHERE available AND NOT tried GROUP BY doc_id, pos)"""
+def symbol(value):
+    """K7: lower case, letters, digits and single hyphens, a letter first."""
+    s = F.regexp_replace(F.regexp_replace(F.lower(value), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    return F.when(s.rlike("^[a-z]"), s).otherwise(F.concat(F.lit("x-"), F.coalesce(F.nullif(s, F.lit("")), F.lit("item"))))
 
 
-def two_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each step the cheapest method and the one that sorts first, in one aggregation."""
-    c = candidate_methods(spark, sf_dir).groupBy("doc_id", "pos").agg(F.min(F.struct("cost", "method")).alias("a"), F.min(F.struct("method", "cost")).alias("b"))
-    return c.select("doc_id", "pos", F.col("a.method").alias("m1"), F.col("a.cost").alias("c1"), F.col("b.method").alias("m2"), F.col("b.cost").alias("c2"))
+_NAME_SQL = "CASE pk % 6 WHEN 0 THEN 'Part ' || pk % 4 WHEN 1 THEN 'part_' || pk % 4 WHEN 2 THEN 'PART--' || pk % 4 WHEN 3 THEN '9 lives ' || pk % 3 WHEN 4 THEN '__' ELSE 'ok' END"
 
 
-@query(
-    with_cte("me", PLANS_SQL + """ SELECT doc_id, side, signature, n FROM (
-    SELECT doc_id, signature, 'left' AS side, (a - b)::BIGINT AS n FROM c WHERE a > b UNION ALL SELECT doc_id, signature, 'right', (b - a)::BIGINT FROM c WHERE b > a)""")
-    .replace(") , p1", "), p1").replace(" SELECT doc_id, side, signature, n FROM (", """, c AS (SELECT doc_id, signature, count(*) FILTER (s = 1) AS a, count(*) FILTER (s = 2) AS b FROM (
-    SELECT doc_id, method || '@' || cost AS signature, 1 AS s FROM p1 UNION ALL SELECT doc_id, method || '@' || cost, 2 FROM p2) GROUP BY doc_id, signature) SELECT doc_id, side, signature, n FROM (""", 1)
-)
-def plan_multiset_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signatures of one plan beyond the other's, with multiplicity, both ways in one pass."""
-    p = two_plans(spark, sf_dir)
-    both = p.select("doc_id", F.explode(F.array(F.struct(F.concat_ws("@", "m1", F.col("c1").cast("string")).alias("signature"), F.lit(1).alias("d")), F.struct(F.concat_ws("@", "m2", F.col("c2").cast("string")).alias("signature"), F.lit(-1).alias("d")))).alias("x")).select("doc_id", "x.*")
-    n = both.groupBy("doc_id", "signature").agg(F.sum("d").alias("n")).where("n <> 0")
-    return n.select("doc_id", F.when(F.col("n") > 0, "left").otherwise("right").alias("side"), "signature", F.abs("n").alias("n"))
+def names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pk = F.col("pk")
+    with_rest = lambda text, k: F.concat(F.lit(text), (pk % k).cast("string"))
+    name = F.when(pk % 6 == 0, with_rest("Part ", 4)).when(pk % 6 == 1, with_rest("part_", 4)).when(pk % 6 == 2, with_rest("PART--", 4)).when(pk % 6 == 3, with_rest("9 lives ", 3)).when(pk % 6 == 4, "__").otherwise("ok")
+    return lines(spark, sf_dir).select("doc_id", name.alias("value")).distinct()
 
 
 @query(
-    with_cte("me", PLANS_SQL + """ SELECT doc_id, CASE WHEN bool_and(p1.method = p2.method) THEN 'identical' WHEN sum(p1.cost) = sum(p2.cost) THEN 'equivalent' ELSE 'different' END AS verdict,
-    (sum(p2.cost) - sum(p1.cost))::BIGINT AS cost_delta, count(*) FILTER (p1.method <> p2.method)::BIGINT AS changed FROM p1 JOIN p2 USING (doc_id, pos) GROUP BY doc_id""").replace(") , p1", "), p1")
+    with_cte("li", f""", v AS (SELECT DISTINCT doc_id, {_NAME_SQL} AS value FROM li), n AS (SELECT *, trim(regexp_replace(lower(value), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM v), y AS (SELECT doc_id, value, CASE WHEN regexp_matches(s, '^[a-z]') THEN s ELSE 'x-' || coalesce(nullif(s, ''), 'item') END AS sym FROM n)
+    SELECT doc_id, value, CASE WHEN row_number() OVER (PARTITION BY doc_id, sym ORDER BY value) > 1 THEN sym || '-' || left(sha256(value), 8) ELSE sym END AS symbol FROM y""").replace("FROM lineitem) , v", "FROM lineitem), v")
 )
-def plan_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G8, A6, U3."""
-    p = two_plans(spark, sf_dir).withColumn("same", F.col("m1") == F.col("m2"))
-    g = p.groupBy("doc_id").agg(F.bool_and("same").alias("all_same"), F.sum(F.col("c2") - F.col("c1")).alias("cost_delta"), F.count_if(~F.col("same")).alias("changed"))
-    return g.select("doc_id", F.when(F.col("all_same"), "identical").when(F.col("cost_delta") == 0, "equivalent").otherwise("different").alias("verdict"), "cost_delta", "changed")
+def symbol_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K7: symbols of each document's names; of names with one symbol the first keeps it, others get eight digits of their hash."""
+    n = F.row_number().over(Window.partitionBy("doc_id", "sym").orderBy("value"))
+    rows = names(spark, sf_dir).withColumn("sym", symbol(F.col("value"))).withColumn("n", n)
+    return rows.select("doc_id", "value", F.when(F.col("n") > 1, F.concat_ws("-", "sym", F.substring(F.sha2("value", 256), 1, 8))).otherwise(F.col("sym")).alias("symbol"))
 
 
 @query(
-    with_cte("ob", """SELECT a.doc_id, a.pos, CASE WHEN a.dep IS NOT NULL AND NOT b.satisfied AND (b.pk * 7) % 11 >= (a.pk * 7) % 11 THEN 'dependency' WHEN a.satisfied THEN 'already' END AS problem
-    FROM ob a LEFT JOIN ob b ON a.doc_id = b.doc_id AND a.dep = b.pos WHERE (a.dep IS NOT NULL AND NOT b.satisfied AND (b.pk * 7) % 11 >= (a.pk * 7) % 11) OR a.satisfied""")
+    with_cte("li", f""", v AS (SELECT DISTINCT doc_id, {_NAME_SQL} AS value FROM li), n AS (SELECT *, trim(regexp_replace(lower(value), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM v), y AS (SELECT doc_id, value, CASE WHEN regexp_matches(s, '^[a-z]') THEN s ELSE 'x-' || coalesce(nullif(s, ''), 'item') END AS sym FROM n),
+    t AS (SELECT doc_id, value, CASE WHEN row_number() OVER (PARTITION BY doc_id, sym ORDER BY value) > 1 THEN sym || '-' || left(sha256(value), 8) ELSE sym END AS symbol FROM y), used(symbol) AS (VALUES ('ok'), ('x-item'), ('part-1'), ('part-2'), ('nothing'))
+    SELECT doc_id, symbol, value FROM (SELECT DISTINCT doc_id FROM li) CROSS JOIN used LEFT JOIN t USING (doc_id, symbol)""").replace("FROM lineitem) , v", "FROM lineitem), v")
 )
-def plan_replay_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A plan that runs step (pk * 7) % 11: dependencies must run earlier, satisfied obligations not at all."""
-    by = Window.partitionBy("doc_id").orderBy("pos")
-    rank = F.col("pk") * 7 % 11
-    ob = obligations(spark, sf_dir).withColumn("r", rank).withColumn("b_sat", F.lag("satisfied").over(by)).withColumn("b_r", F.lag("r").over(by))
-    late = F.col("dep").isNotNull() & ~F.col("b_sat") & (F.col("b_r") >= F.col("r"))
-    return ob.withColumn("problem", F.when(late, "dependency").when(F.col("satisfied"), "already")).where("problem IS NOT NULL").select("doc_id", "pos", "problem")
+def symbols_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names behind the symbols that a plan uses; a symbol without a name is unknown."""
+    used = F.explode(F.array(*[F.lit(x) for x in ("ok", "x-item", "part-1", "part-2", "nothing")]))
+    steps = lines(spark, sf_dir).select("doc_id").distinct().select("doc_id", used.alias("symbol"))
+    return steps.join(symbol_table(spark, sf_dir), ["doc_id", "symbol"], "left").select("doc_id", "symbol", "value")
 
 
-@query(with_cte("me", "SELECT doc_id, pos, string_agg(method, ',' ORDER BY method) AS bad FROM (SELECT doc_id, pos, CASE WHEN cost % 13 = 0 THEN 'x-' || method ELSE method END AS method FROM me) WHERE method LIKE 'x-%' GROUP BY doc_id, pos"))
-def cost_key_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cost keys that are no admissible method (injected where the cost is a multiple of 13)."""
-    m = methods(spark, sf_dir).withColumn("key", F.when(F.col("cost") % 13 == 0, F.concat(F.lit("x-"), "method")).otherwise(F.col("method")))
-    keys = m.groupBy("doc_id", "pos").agg(F.collect_set("key").alias("k")).withColumn("bad", F.array_sort(F.array_except("k", F.array(F.lit("m1"), F.lit("m2"), F.lit("m3")))))
-    return keys.where("size(bad) > 0").select("doc_id", "pos", F.array_join("bad", ",").alias("bad"))
-
+_BIND_SQL = """, head AS (SELECT doc_id, 'manifest-' || doc_id AS manifest, 1 + doc_id % 3 AS revision, sha256('manifest:' || doc_id || ':' || count(*)) AS sha, count(*) AS n FROM li GROUP BY doc_id),
+ plan AS (SELECT doc_id, CASE WHEN doc_id % 11 = 1 THEN 'other' ELSE 'accessible' END AS domain, CASE WHEN doc_id % 11 = 2 THEN '2.1' ELSE '2.2' END AS version, sha256(CASE WHEN doc_id % 11 = 3 THEN 'edited' ELSE 'domain' END) AS domain_sha, sha256(CASE WHEN doc_id % 11 = 4 THEN 'edited' ELSE 'description' END) AS description_sha,
+  CASE WHEN doc_id % 11 = 5 THEN 'manifest-0' ELSE 'manifest-' || doc_id END AS manifest, CASE WHEN doc_id % 11 = 6 THEN 9 ELSE 1 + doc_id % 3 END AS revision, sha256('manifest:' || doc_id || ':' || (n + CASE WHEN doc_id % 11 = 7 THEN 1 ELSE 0 END)) AS sha, n + CASE WHEN doc_id % 11 = 8 THEN 1 ELSE 0 END AS last FROM head)"""
 
-@query("SELECT p_partkey AS id, CASE WHEN n > 1 THEN sym || '-' || left(sha256(p_name || '#' || p_partkey), 8) ELSE sym END AS symbol FROM (SELECT *, row_number() OVER (PARTITION BY sym ORDER BY p_partkey) AS n FROM (SELECT p_partkey, p_name, trim(regexp_replace(lower(left(p_name, 7)), '[^a-z0-9]+', '-', 'g'), '-') AS sym FROM part))")
-def symbol_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K7: normalised symbols; the first owner keeps the plain one, others get eight digits of a hash."""
-    from ..sources.adapters import read
-
-    sym = F.regexp_replace(F.regexp_replace(F.lower(F.substring("p_name", 1, 7)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
-    p = read(spark, sf_dir, "part").select("p_partkey", "p_name", sym.alias("sym"))
-    n = F.row_number().over(Window.partitionBy("sym").orderBy("p_partkey"))
-    hashed = F.substring(F.sha2(F.concat_ws("#", "p_name", F.col("p_partkey").cast("string")), 256), 1, 8)
-    return p.withColumn("n", n).select(F.col("p_partkey").alias("id"), F.when(F.col("n") > 1, F.concat_ws("-", "sym", hashed)).otherwise(F.col("sym")).alias("symbol"))
-
-
-@query(with_cte("hd", "SELECT doc_id, 'heading-gap' AS kind, count(*)::BIGINT AS n, min(pos) AS first FROM (SELECT *, lag(level) OVER (PARTITION BY doc_id ORDER BY pos) AS prev FROM hd) WHERE level > prev + 1 GROUP BY doc_id"))
-def heading_obligations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One repair obligation a document with heading gaps."""
-    by = Window.partitionBy("doc_id").orderBy("pos")
-    return headings(spark, sf_dir).withColumn("prev", F.lag("level").over(by)).where("level > prev + 1").groupBy("doc_id").agg(F.lit("heading-gap").alias("kind"), F.count("*").alias("n"), F.min("pos").alias("first"))
 
-
-@query(with_cte("li", "SELECT doc_id, substr(sha256('domain:2.2:' || doc_id), 1, 16) AS expected, doc_id % 5 = 0 AS altered, count(*) FILTER (pk % 1000 = 7)::BIGINT AS unknown FROM li GROUP BY doc_id HAVING doc_id % 5 = 0 OR count(*) FILTER (pk % 1000 = 7) > 0"))
+@query(
+    with_cte("li", _BIND_SQL + """ SELECT p.doc_id, left(sha256(p.manifest || ':' || p.revision || ':' || p.sha), 16) AS plan_id, array_to_string(list_filter([CASE WHEN p.domain <> 'accessible' THEN 'domain' END, CASE WHEN p.version <> '2.2' THEN 'version' END, CASE WHEN p.domain_sha <> sha256('domain') THEN 'domain-hash' END,
+    CASE WHEN p.description_sha <> sha256('description') THEN 'description-hash' END, CASE WHEN p.manifest <> h.manifest THEN 'manifest' END, CASE WHEN p.revision <> h.revision THEN 'revision' END, CASE WHEN p.sha <> h.sha THEN 'manifest-hash' END, CASE WHEN p.last > h.n THEN 'unknown-obligation' END], lambda x: x IS NOT NULL), ',') AS broken
+    FROM plan p JOIN head h USING (doc_id)""").replace("FROM lineitem) , head", "FROM lineitem), head")
+)
 def binding_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plans bound to another revision (every fifth) or to unknown obligations."""
-    g = lines(spark, sf_dir).groupBy("doc_id").agg(F.count_if(F.col("pk") % 1000 == 7).alias("unknown"))
-    g = g.withColumn("expected", F.substring(F.sha2(F.concat(F.lit("domain:2.2:"), F.col("doc_id").cast("string")), 256), 1, 16)).withColumn("altered", F.col("doc_id") % 5 == 0)
-    return g.where("altered OR unknown > 0").select("doc_id", "expected", "altered", "unknown")
+    """The plan's domain, version, hashes, manifest, revision and obligations against those that are there."""
+    d = F.col("doc_id")
+    text = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v.cast("string") for v in x])
+    sha = lambda x: F.sha2(x, 256)
+    unless = lambda k, good, bad: F.when(d % 11 == k, bad).otherwise(good)
+    head = lines(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n"))
+    head = head.withColumns({"manifest": text("manifest-", d), "revision": 1 + d % 3, "sha": sha(text("manifest:", d, ":", F.col("n")))})
+    plan = head.select(
+        "doc_id", unless(1, F.lit("accessible"), "other").alias("domain"), unless(2, F.lit("2.2"), "2.1").alias("version"), sha(unless(3, F.lit("domain"), "edited")).alias("domain_sha"), sha(unless(4, F.lit("description"), "edited")).alias("description_sha"),
+        unless(5, F.col("manifest"), "manifest-0").alias("p_manifest"), unless(6, F.col("revision"), 9).alias("p_revision"), sha(text("manifest:", d, ":", F.col("n") + F.when(d % 11 == 7, 1).otherwise(0))).alias("p_sha"), (F.col("n") + F.when(d % 11 == 8, 1).otherwise(0)).alias("last"),
+    )
+    j = plan.join(head, "doc_id")
+    rules = {
+        "domain": F.col("domain") != "accessible", "version": F.col("version") != "2.2", "domain-hash": F.col("domain_sha") != sha(F.lit("domain")), "description-hash": F.col("description_sha") != sha(F.lit("description")),
+        "manifest": F.col("p_manifest") != F.col("manifest"), "revision": F.col("p_revision") != F.col("revision"), "manifest-hash": F.col("p_sha") != F.col("sha"), "unknown-obligation": F.col("last") > F.col("n"),
+    }
+    plan_id = F.substring(sha(F.concat_ws(":", "p_manifest", F.col("p_revision").cast("string"), "p_sha")), 1, 16)
+    return j.select("doc_id", plan_id.alias("plan_id"), F.array_join(F.array_compact(F.array(*[F.when(test, name) for name, test in rules.items()])), ",").alias("broken"))
