@@ -1,4 +1,4 @@
-"""Elements of pages: types, order, parents, membership, counts, profiles."""
+"""Elements of pages: types, order, parents, membership, counts, profiles."""
 
 from __future__ import annotations
 
@@ -103,30 +103,29 @@ def dangling_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+WIDTH, HEIGHT, LEAST = 600.0, 800.0, 4.0
+
+
 @query(
     with_cte(
         "bx",
-        """SELECT doc_id, pos, CASE WHEN pk % 3 = 0 THEN 1 WHEN pk % 3 = 1 THEN greatest(1, pk % 4) ELSE greatest(0, pk % 4 - 1) END AS level,
-        CASE WHEN page > 1 THEN page END AS page, CASE WHEN pk % 10 / 8.0 BETWEEN 0 AND 1 THEN pk % 10 / 8.0 END AS confidence,
-        CASE WHEN pk % 5 = 0 THEN 'UNKNOWN' WHEN pk % 5 = 1 THEN 'BOTTOMLEFT' ELSE 'TOPLEFT' END AS origin,
-        CASE WHEN pk % 5 = 1 THEN 800 - y1 ELSE y0 END AS top, CASE WHEN x1 - x0 > 0 THEN x1 - x0 END AS width, nullif(trim(CASE WHEN pk % 6 = 0 THEN '  ' ELSE '#/' || pk END), '') AS ref FROM bx""",
-    )
+        f""", c AS (SELECT doc_id, pos, pk, CASE WHEN pk % 5 = 1 THEN {HEIGHT} - y1 ELSE y0 END AS a, CASE WHEN pk % 5 = 1 THEN {HEIGHT} - y0 ELSE y1 END AS b, x0 + CASE WHEN pk % 4 = 0 THEN 590 ELSE 0 END AS l, x1 + CASE WHEN pk % 4 = 0 THEN 590 ELSE 0 END AS r, CASE pk % 4 WHEN 0 THEN 'wide' WHEN 1 THEN '-3' ELSE (pk % 90)::VARCHAR || '.5' END AS size FROM bx),
+        d AS (SELECT doc_id, pos, size, greatest(0, least(a, b)) AS top, least({HEIGHT}, greatest(a, b)) AS bottom, greatest(0, l) AS left_, least({WIDTH}, r) AS right_ FROM c), e AS (SELECT *, right_ - left_ < {LEAST} OR bottom - top < {LEAST} AS small FROM d)
+        SELECT doc_id, pos, CASE WHEN small THEN 0 ELSE left_ END::DOUBLE AS x0, CASE WHEN small THEN 0 ELSE top END::DOUBLE AS y0, CASE WHEN small THEN {WIDTH} ELSE right_ END::DOUBLE AS x1, CASE WHEN small THEN {HEIGHT} ELSE bottom END::DOUBLE AS y1, CASE WHEN try_cast(size AS DOUBLE) > 0 THEN try_cast(size AS DOUBLE) END AS width FROM e""",
+    ).replace("FROM li) , c", "FROM li), c")
 )
-def element_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Levels, pages, confidences, origins and references, with values out of range made null."""
+def clipped_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes measured from the bottom are turned over, all are cut to the page, and what is left too small is the
+    whole page; sizes that aren't positive numbers are null."""
     pk = F.col("pk")
-    c = pk % 10 / F.lit(8.0)
-    return boxes(spark, sf_dir).select(
-        "doc_id",
-        "pos",
-        F.when(pk % 3 == 0, F.lit(1)).when(pk % 3 == 1, F.greatest(F.lit(1), pk % 4)).otherwise(F.greatest(F.lit(0), pk % 4 - 1)).cast("long").alias("level"),
-        F.when(F.col("page") > 1, F.col("page")).alias("page"),
-        F.when(c.between(0, 1), c).alias("confidence"),
-        F.when(pk % 5 == 0, "UNKNOWN").when(pk % 5 == 1, "BOTTOMLEFT").otherwise("TOPLEFT").alias("origin"),
-        F.when(pk % 5 == 1, 800 - F.col("y1")).otherwise(F.col("y0")).alias("top"),
-        F.when(F.col("x1") - F.col("x0") > 0, F.col("x1") - F.col("x0")).alias("width"),
-        F.nullif(F.trim(F.when(pk % 6 == 0, "  ").otherwise(F.concat(F.lit("#/"), pk.cast("string")))), F.lit("")).alias("ref"),
-    )
+    up = pk % 5 == 1
+    shift = F.when(pk % 4 == 0, 590).otherwise(0)
+    size = F.when(pk % 4 == 0, "wide").when(pk % 4 == 1, "-3").otherwise(F.concat((pk % 90).cast("string"), F.lit(".5"))).try_cast("double")
+    a, b = F.when(up, HEIGHT - F.col("y1")).otherwise(F.col("y0")), F.when(up, HEIGHT - F.col("y0")).otherwise(F.col("y1"))
+    cut = boxes(spark, sf_dir).select("doc_id", "pos", F.greatest(F.lit(0.0), F.col("x0") + shift).alias("l"), F.least(F.lit(WIDTH), F.col("x1") + shift).alias("r"), F.greatest(F.lit(0.0), F.least(a, b)).alias("t"), F.least(F.lit(HEIGHT), F.greatest(a, b)).alias("b"), F.when(size > 0, size).alias("width"))
+    small = (F.col("r") - F.col("l") < LEAST) | (F.col("b") - F.col("t") < LEAST)
+    side = lambda c, whole, name: F.when(small, F.lit(whole)).otherwise(F.col(c)).alias(name)
+    return cut.select("doc_id", "pos", side("l", 0.0, "x0"), side("t", 0.0, "y0"), side("r", WIDTH, "x1"), side("b", HEIGHT, "y1"), "width")
 
 
 @query(with_cte("hd", "SELECT doc_id, string_agg(n, ',' ORDER BY level) AS counts, sum(c)::BIGINT AS elements, max(level) AS deepest FROM (SELECT doc_id, level, count(*) AS c, level || ':' || count(*) AS n FROM hd GROUP BY doc_id, level) GROUP BY doc_id"))

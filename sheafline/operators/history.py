@@ -40,11 +40,11 @@ def orphan_timeout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversions(spark, sf_dir).where((F.col("status") == "processing") & old).groupBy("user_id").agg(F.count("*").alias("orphans"), F.min("id").alias("first_id"))
 
 
-@query(with_cte("cv", f"SELECT id, CASE WHEN seconds * 4096 < 1048576 THEN (floor(seconds * 4))::BIGINT || ' KB' ELSE 'MB' END AS size, created_at < TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY AS expired FROM cv WHERE status = 'done'"))
+@query(with_cte("cv", f"SELECT id, CASE WHEN seconds * 4096 < 1048576 THEN round_even(seconds * 4, 0)::BIGINT || ' KB' ELSE printf('%.1f MB', seconds * 4096 / 1048576) END AS size, created_at < TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY AS expired FROM cv WHERE status = 'done'"))
 def token_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DT2, R6, M5: download tokens older than seven days."""
     bytes_ = F.col("seconds") * 4096
-    size = F.when(bytes_ < 1048576, F.concat(F.floor(F.col("seconds") * 4).cast("string"), F.lit(" KB"))).otherwise("MB")
+    size = F.when(bytes_ < 1048576, F.concat(F.bround(F.col("seconds") * 4, 0).cast("long").cast("string"), F.lit(" KB"))).otherwise(F.format_string("%.1f MB", bytes_ / 1048576))
     return conversions(spark, sf_dir).where("status = 'done'").select("id", size.alias("size"), (F.col("created_at") < _ts(AS_OF) - F.expr("INTERVAL 7 DAY")).alias("expired"))
 
 

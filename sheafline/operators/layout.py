@@ -1,4 +1,4 @@
-"""Layout: regions, bands, callout clusters, gaps, overlaps."""
+"""Layout: regions, bands, callout clusters, gaps, overlaps."""
 
 from __future__ import annotations
 
@@ -125,11 +125,23 @@ def merged_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged(spark, sf_dir)
 
 
-@query(with_cte("bx", f"SELECT doc_id, page, y1 AS top, below AS bottom FROM (SELECT *, lead(y0, 1, 800) OVER (PARTITION BY doc_id, page ORDER BY grp) AS below FROM ({MERGED_SQL})) WHERE below - y1 >= 20"))
+PAGE_HEIGHT = 800.0
+
+
+@query(
+    with_cte("bx", f""", mg AS ({MERGED_SQL}), st AS (SELECT doc_id, page, y1 AS stop FROM mg UNION SELECT DISTINCT doc_id, page, 0.0 FROM mg UNION SELECT DISTINCT doc_id, page, {PAGE_HEIGHT} FROM mg),
+    bd AS (SELECT doc_id, page, stop AS top, lead(stop) OVER (PARTITION BY doc_id, page ORDER BY stop) AS bottom FROM st)
+    SELECT doc_id, page, top, bottom, count(b.pos)::BIGINT AS covers FROM bd LEFT JOIN bx b USING (doc_id, page) WHERE bottom - top >= 20 AND (b.pos IS NULL OR (b.y0 < bottom AND b.y1 > top)) GROUP BY ALL
+    UNION ALL SELECT doc_id, page, top, bottom, 0 FROM bd WHERE bottom - top >= 20 AND NOT EXISTS (SELECT 1 FROM bx b WHERE b.doc_id = bd.doc_id AND b.page = bd.page AND b.y0 < bottom AND b.y1 > top) AND EXISTS (SELECT 1 FROM bx b WHERE b.doc_id = bd.doc_id AND b.page = bd.page)""").replace("FROM li) , mg", "FROM li), mg")
+)
 def gap_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bands of 20 or more between merged intervals, the last to the end of the page."""
-    below = F.lead("y0", 1, 800.0).over(Window.partitionBy("doc_id", "page").orderBy("grp"))
-    return merged(spark, sf_dir).withColumn("bottom", below).where("bottom - y1 >= 20").select("doc_id", "page", F.col("y1").alias("top"), "bottom")
+    """Bands of 20 or more between the page's top, the ends of merged intervals and the page's bottom, with the
+    boxes that overlap each; an interval join inside a page."""
+    m = merged(spark, sf_dir).groupBy("doc_id", "page").agg(F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(PAGE_HEIGHT)), F.collect_list("y1")))).alias("s"))
+    bands = m.select("doc_id", "page", F.explode(F.arrays_zip(F.expr("slice(s, 1, size(s) - 1)").alias("top"), F.expr("slice(s, 2, size(s) - 1)").alias("bottom"))).alias("b")).select("doc_id", "page", "b.top", "b.bottom").where("bottom - top >= 20")
+    b = boxes(spark, sf_dir).select(F.col("doc_id").alias("d"), F.col("page").alias("p"), "y0", "y1")
+    hit = bands.join(b, F.expr("doc_id = d AND page = p AND y0 < bottom AND y1 > top"), "left")
+    return hit.groupBy("doc_id", "page", "top", "bottom").agg(F.count("d").alias("covers"))
 
 
 @query(
@@ -149,18 +161,18 @@ def overlap_semijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, on, "left_semi").select("doc_id", "pos")
 
 
-@query(
-    with_cte(
-        "rg",
-        """SELECT id, match FROM (SELECT a.id, b.id AS match, row_number() OVER (PARTITION BY a.id ORDER BY b.id) AS n FROM rg a JOIN (SELECT id, w * h AS px, id % 50 AS k FROM rg WHERE kind = 'image') b
-        ON a.id % 50 = b.k AND abs(a.w * a.h - b.px) / b.px < 0.5 WHERE a.kind = 'text') WHERE n = 1""",
-    )
-)
+@query(with_cte("rg", "SELECT a.id, min(b.id) AS match FROM rg a JOIN (SELECT id, w * h AS px FROM rg WHERE kind = 'image') b ON abs(a.w * a.h - b.px) / b.px < 0.5 WHERE a.kind = 'text' GROUP BY a.id"))
 def image_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first embedded image of nearly the same area."""
-    r = regions(spark, sf_dir).select("id", "kind", (F.col("w") * F.col("h")).alias("px"), (F.col("id") % 50).alias("k"))
-    a, b = r.where("kind = 'text'").alias("a"), r.where("kind = 'image'").alias("b")
-    return a.join(b, F.expr("a.k = b.k AND abs(a.px - b.px) / b.px < 0.5")).groupBy("a.id").agg(F.min("b.id").alias("match"))
+    """The first embedded image whose area is less than half of itself away.
+
+    Equal areas are one row, so both sides are as large as the areas are many. An image of area p is met from p / 2 to
+    3 p / 2; powers of two as bins are joined with their neighbours, which hold that range.
+    """
+    r = regions(spark, sf_dir).select("id", "kind", (F.col("w") * F.col("h")).alias("px")).withColumn("bin", F.floor(F.log2("px")).cast("int"))
+    images = r.where("kind = 'image'").groupBy("px", "bin").agg(F.min("id").alias("first")).select(F.col("px").alias("p"), "first", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
+    texts = r.where("kind = 'text'")
+    best = texts.select("px", "bin").distinct().join(images, "bin").where("abs(px - p) / p < 0.5").groupBy("px").agg(F.min("first").alias("match"))
+    return texts.join(best, "px").select("id", "match")
 
 
 @query(
@@ -184,14 +196,3 @@ def file_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     allowed = ("pdf", "png", "jpg", "jpeg", "tiff", "tif", "bmp", "gif", "webp", "docx", "html")
     ext = F.lower(F.regexp_extract("file", r"\.([^./]+)$", 1)).isin(*allowed)
     return p.select(F.col("p_partkey").alias("id"), F.concat("p_name", suffix).alias("file"), "p_size").select("id", "file", (ext & (F.col("p_size") <= 45)).alias("admitted"), F.when(~ext, "type").when(F.col("p_size") > 45, "size").otherwise("ok").alias("reason"))
-
-
-@query(
-    with_cte("rg", f"""SELECT id, CASE class WHEN 'code_block' THEN 'Início de código-fonte:' || chr(10) || p_name || chr(10) || 'Fim de código-fonte' WHEN 'list_block' THEN 'Início de lista:' || chr(10) || p_name || chr(10) || 'Fim de lista'
-    WHEN 'embedded_image' THEN 'Início de imagem:' || chr(10) || p_name || chr(10) || 'Fim de imagem' ELSE p_name END AS marked FROM (SELECT *, {CLASS_SQL} AS class FROM (SELECT *, {THIN_SQL} AS thin FROM rg))""")
-)
-def region_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spoken markers around a region."""
-    name = F.when(F.col("class") == "code_block", "código-fonte").when(F.col("class") == "list_block", "lista").when(F.col("class") == "embedded_image", "imagem")
-    rows = regions(spark, sf_dir).withColumn("class", region_class()).withColumn("of", name)
-    return rows.select("id", F.when(F.col("of").isNull(), F.col("p_name")).otherwise(F.concat_ws("\n", F.concat(F.lit("Início de "), "of", F.lit(":")), "p_name", F.concat(F.lit("Fim de "), "of"))).alias("marked"))

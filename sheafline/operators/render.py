@@ -102,28 +102,6 @@ def audio_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.size("sizes").cast("long").alias("chunks"), F.expr("aggregate(sizes, 0L, (a, x) -> a + x)").alias("chars"))
 
 
-@query(
-    with_cte("md", r"""SELECT rule, severity, count(*)::BIGINT AS n, min(doc_id)::BIGINT AS first_doc FROM (
-    SELECT doc_id, 'markdown' AS rule, 'BLOCKER' AS severity FROM md WHERE regexp_matches(line, '\*\*.+\*\*') UNION ALL SELECT doc_id, 'separator', 'WARNING' FROM md WHERE regexp_matches(line, '^[|:\s-]+$')
-    UNION ALL SELECT doc_id, 'no-heading', 'BLOCKER' FROM (SELECT doc_id, bool_or(line LIKE '#%') AS h FROM md GROUP BY doc_id) WHERE NOT h) GROUP BY rule, severity""")
-)
-def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V4, V6: rule violations with severities; each line is read once and yields an array of rules."""
-    line = F.col("line")
-    rule = lambda name, severity: F.struct(F.lit(name).alias("rule"), F.lit(severity).alias("severity"))
-    md = md_lines(spark, sf_dir)
-    by_line = md.select("doc_id", F.explode(F.array_compact(F.array(F.when(line.rlike(r"\*\*.+\*\*"), rule("markdown", "BLOCKER")), F.when(line.rlike(r"^[|:\s-]+$"), rule("separator", "WARNING"))))).alias("r"))
-    bare = md.groupBy("doc_id").agg(F.bool_or(line.startswith("#")).alias("h")).where("NOT h").select("doc_id", rule("no-heading", "BLOCKER").alias("r"))
-    return by_line.unionByName(bare).groupBy("r.rule", "r.severity").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
-
-
-@query(with_cte("md", r"SELECT doc_id, count(*)::BIGINT AS blocks FROM md GROUP BY doc_id HAVING NOT bool_or(regexp_matches(line, '\*\*.+\*\*')) AND bool_or(line LIKE '#%')"))
-def export_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without blockers go to export."""
-    g = md_lines(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("blocks"), F.bool_or(F.col("line").rlike(r"\*\*.+\*\*")).alias("bad"), F.bool_or(F.col("line").startswith("#")).alias("h"))
-    return g.where("NOT bad AND h").select("doc_id", "blocks")
-
-
 @query("SELECT d.doc_id, 'generated' AS title, 'no text' AS warning FROM documents d WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def non_textual_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without content rows get one generated section."""
@@ -131,13 +109,6 @@ def non_textual_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(l, "doc_id", "left_anti").select("doc_id", F.lit("generated").alias("title"), F.lit("no text").alias("warning"))
 
 
-@query("SELECT page_id, k::BIGINT AS page_number, length(part)::BIGINT AS chars FROM (SELECT page_id, unnest(string_split(html, '<p>')) AS part, unnest(range(1, len(string_split(html, '<p>')) + 1)) AS k FROM pages) WHERE k <= 10")
-def input_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as pages; the first ten a document are the feature's page limit."""
-    p = read(spark, sf_dir, "pages").select("page_id", F.posexplode(F.slice(F.split("html", "<p>"), 1, 10)).alias("k", "part"))
-    return p.select("page_id", (F.col("k") + 1).cast("long").alias("page_number"), F.length("part").cast("long").alias("chars"))
-
-
 @query("SELECT o_orderkey AS id, o_orderpriority AS mode, CASE left(o_orderpriority, 1) WHEN '1' THEN 'technical' WHEN '2' THEN 'basic' ELSE 'detailed' END AS verbosity FROM orders")
 def mode_verbosity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A look-up with a default, as a map literal."""
@@ -169,18 +140,3 @@ def manifest_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     ob = obligations(spark, sf_dir).withColumn("before", before)
     rule = F.when(F.col("dep") == F.col("pos"), "self").when(F.col("satisfied") & F.col("dep").isNotNull() & ~F.col("before"), "unsatisfied-dependency").when(F.col("pk") % 97 == 0, "unknown-target").when(F.col("pos") > 7, "order-range")
     return ob.select(rule.alias("rule")).where("rule IS NOT NULL").groupBy("rule").agg(F.count("*").alias("n"))
-
-
-@query(with_cte("md", r"SELECT doc_id, pos, regexp_matches(line, '^[A-Z]') AS capital, (contains(line, '=')::INT + contains(line, '+')::INT + contains(line, '-')::INT + contains(line, '*')::INT + contains(line, '/')::INT + contains(line, 'sin')::INT) > 2 AS math, len(string_split(line, '**'))::BIGINT AS emphasis FROM md"))
-def optional_text_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T11, T12, T24."""
-    line = F.col("line")
-    hits = sum((line.contains(x).cast("int") for x in "= + - * / sin".split()), F.lit(0))
-    return md_lines(spark, sf_dir).select("doc_id", "pos", line.rlike("^[A-Z]").alias("capital"), (hits > 2).alias("math"), F.size(F.split(line, r"\*\*")).cast("long").alias("emphasis"))
-
-
-@query(r"SELECT doc_id, len(l)::BIGINT AS lines, len(list_filter(l, lambda x: regexp_matches(x, '[{};]'))) > 0 AND (len(l) > 1 OR length(text) >= 90) AS code_like FROM (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents)")
-def code_indent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A text with code marks, in several lines or long."""
-    l = F.split("text", "\n")
-    return read(spark, sf_dir, "documents").select("doc_id", F.size(l).cast("long").alias("lines"), (F.exists(l, lambda x: x.rlike("[{};]")) & ((F.size(l) > 1) | (F.length("text") >= 90))).alias("code_like"))

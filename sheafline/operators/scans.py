@@ -19,15 +19,6 @@ def plan_text_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.select("doc_id", plan_steps(F.col("line")).alias("s")).where("s IS NOT NULL").groupBy("doc_id", "s.action", "s.first", "s.second").agg(F.count("*").alias("n"))
 
 
-@query(with_cte("li", "SELECT doc_id, (count(*) * 7)::DOUBLE AS evaluated, max(pk)::DOUBLE AS cost, round(count(*) / 8.0, 3) AS seconds FROM li GROUP BY doc_id"))
-def planner_log_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last match of each statistic in a log."""
-    g = lines(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("pk").alias("m"))
-    log = F.concat(F.lit("Evaluated 1 state(s).\nEvaluated "), (F.col("n") * 7).cast("string"), F.lit(" state(s).\nPlan cost: 3\nPlan cost: "), F.col("m").cast("string"), F.lit("\nSearch time: "), F.round(F.col("n") / 8, 3).cast("string"), F.lit("s"))
-    g = g.select("doc_id", log.alias("log"))
-    return g.select("doc_id", log_number(F.col("log"), "Evaluated").alias("evaluated"), log_number(F.col("log"), "Plan cost:").alias("cost"), F.round(log_number(F.col("log"), "Search time:"), 3).alias("seconds"))
-
-
 @query(with_cte("cv", "SELECT 'task-' || (id % 5000) AS task_id, min(id)::BIGINT AS id FROM cv WHERE id % 5000 >= 2000 GROUP BY 1"))
 def history_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Insert or ignore against the tasks that are known."""

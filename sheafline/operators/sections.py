@@ -10,6 +10,10 @@ from ..plans.registry import query
 from ..sources.adapters import headings, md_lines, read, with_cte
 
 
+#: Headings have levels 1 to 6.
+LEVELS = 6
+
+
 def in_order():
     """Lines of a document in order."""
     return Window.partitionBy("doc_id").orderBy("pos")
@@ -54,23 +58,23 @@ def line_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     with_cte(
         "hd",
-        """SELECT doc_id, pos, level, greatest(CASE WHEN level > 1 THEN l1 END, CASE WHEN level > 2 THEN l2 END, CASE WHEN level > 3 THEN l3 END, CASE WHEN level > 4 THEN l4 END) AS parent FROM (
-        SELECT *, max(CASE WHEN level = 1 THEN pos END) OVER w AS l1, max(CASE WHEN level = 2 THEN pos END) OVER w AS l2, max(CASE WHEN level = 3 THEN pos END) OVER w AS l3, max(CASE WHEN level = 4 THEN pos END) OVER w AS l4
+        """SELECT doc_id, pos, level, greatest(CASE WHEN level > 1 THEN l1 END, CASE WHEN level > 2 THEN l2 END, CASE WHEN level > 3 THEN l3 END, CASE WHEN level > 4 THEN l4 END, CASE WHEN level > 5 THEN l5 END) AS parent FROM (
+        SELECT *, max(CASE WHEN level = 1 THEN pos END) OVER w AS l1, max(CASE WHEN level = 2 THEN pos END) OVER w AS l2, max(CASE WHEN level = 3 THEN pos END) OVER w AS l3, max(CASE WHEN level = 4 THEN pos END) OVER w AS l4, max(CASE WHEN level = 5 THEN pos END) OVER w AS l5
         FROM hd WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""",
     )
 )
 def section_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parent of a heading is the nearest heading before it with a smaller level."""
     hd = headings(spark, sf_dir)
-    last = {k: F.max(F.when(F.col("level") == k, F.col("pos"))).over(before()) for k in range(1, 5)}
+    last = {k: F.max(F.when(F.col("level") == k, F.col("pos"))).over(before()) for k in range(1, LEVELS)}
     return hd.select("doc_id", "pos", "level", F.greatest(*[F.when(F.col("level") > k, v) for k, v in last.items()]).alias("parent"))
 
 
 @query(
     with_cte(
         "hd",
-        """, tree AS (SELECT doc_id, pos, level, greatest(CASE WHEN level > 1 THEN l1 END, CASE WHEN level > 2 THEN l2 END, CASE WHEN level > 3 THEN l3 END, CASE WHEN level > 4 THEN l4 END) AS parent FROM (
-        SELECT *, max(CASE WHEN level = 1 THEN pos END) OVER w AS l1, max(CASE WHEN level = 2 THEN pos END) OVER w AS l2, max(CASE WHEN level = 3 THEN pos END) OVER w AS l3, max(CASE WHEN level = 4 THEN pos END) OVER w AS l4
+        """, tree AS (SELECT doc_id, pos, level, greatest(CASE WHEN level > 1 THEN l1 END, CASE WHEN level > 2 THEN l2 END, CASE WHEN level > 3 THEN l3 END, CASE WHEN level > 4 THEN l4 END, CASE WHEN level > 5 THEN l5 END) AS parent FROM (
+        SELECT *, max(CASE WHEN level = 1 THEN pos END) OVER w AS l1, max(CASE WHEN level = 2 THEN pos END) OVER w AS l2, max(CASE WHEN level = 3 THEN pos END) OVER w AS l3, max(CASE WHEN level = 4 THEN pos END) OVER w AS l4, max(CASE WHEN level = 5 THEN pos END) OVER w AS l5
         FROM hd WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))),
         paths AS (SELECT doc_id, pos, pos::VARCHAR AS path, 1 AS depth FROM tree WHERE parent IS NULL
           UNION ALL SELECT t.doc_id, t.pos, p.path || '/' || t.pos, p.depth + 1 FROM tree t JOIN paths p ON t.doc_id = p.doc_id AND t.parent = p.pos)
@@ -84,10 +88,10 @@ def section_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     Of the last headings of each level before a heading, those later than all with a smaller level are its ancestors.
     """
     rows = headings(spark, sf_dir)
-    for k in range(1, 5):
+    for k in range(1, LEVELS):
         rows = rows.withColumn(f"l{k}", F.max(F.when(F.col("level") == k, F.col("pos"))).over(before()))
     above, latest = [], F.lit(0).cast("long")
-    for k in range(1, 5):
+    for k in range(1, LEVELS):
         here = F.col(f"l{k}")
         above.append(F.when((F.col("level") > k) & (here > latest), here.cast("string")))
         latest = F.greatest(latest, here)

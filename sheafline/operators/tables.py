@@ -27,40 +27,9 @@ def table_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("w0", first).groupBy("doc_id").agg(F.count("*").alias("rows"), F.count_if(F.col("width") != F.col("w0")).alias("uneven"), F.sum("blanks").alias("blanks"))
 
 
-@query(
-    with_cte("tc", """, rows_ AS (SELECT doc_id, row, string_agg(text, ' | ' ORDER BY col) AS line, count(*) AS n, list(text ORDER BY col) AS cells FROM tc GROUP BY doc_id, row)
-    SELECT b.doc_id, b.row, 'Linha ' || (b.row - 1) || ': ' || CASE WHEN h.n = b.n THEN array_to_string(list_transform(list_zip(h.cells, b.cells), lambda x: x[1] || ': ' || x[2]), '; ') ELSE b.line END AS line
-    FROM rows_ b JOIN rows_ h ON b.doc_id = h.doc_id AND h.row = 1 WHERE b.row > 1""").replace(") , rows_", "), rows_")
-)
-def table_linearized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first of several rows is the header; cells are named by it if the widths agree."""
-    rows = table_cells(spark, sf_dir).groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("col", "text"))).alias("c"))
-    rows = rows.select("doc_id", "row", F.transform("c", lambda x: x["text"]).alias("cells"))
-    head = F.first("cells").over(Window.partitionBy("doc_id").orderBy("row"))
-    rows = rows.withColumn("h", head).where("row > 1")
-    named = F.array_join(F.zip_with("h", "cells", lambda a, b: F.concat(a, F.lit(": "), b)), "; ")
-    body = F.when(F.size("h") == F.size("cells"), named).otherwise(F.array_join("cells", " | "))
-    return rows.select("doc_id", "row", F.concat(F.lit("Linha "), (F.col("row") - 1).cast("string"), F.lit(": "), body).alias("line"))
-
-
 ROW_SQL = r"regexp_matches(line, '^\|.*\|$') AND NOT regexp_matches(line, '^[|:\s-]+$')"
 
 
-@query(with_cte("md", f"SELECT doc_id, count(*)::BIGINT AS rows, max(cells)::BIGINT AS width, (count(*) * max(cells))::BIGINT AS score FROM (SELECT doc_id, len(string_split(trim(line, '|'), '|')) AS cells FROM md WHERE {ROW_SQL}) GROUP BY doc_id"))
-def visual_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows between pipes without separators; the score is rows times width."""
-    rows = md_lines(spark, sf_dir).where(F.col("line").rlike(r"^\|.*\|$") & ~F.col("line").rlike(r"^[|:\s-]+$"))
-    cells = F.size(F.split(F.regexp_replace("line", r"^\|+|\|+$", ""), r"\|"))
-    return rows.select("doc_id", cells.alias("cells")).groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("cells").cast("long").alias("width"), (F.count("*") * F.max("cells")).alias("score"))
-
-
-@query(with_cte("md", f"SELECT doc_id, pos, coalesce(trim(string_split(trim(line, '|'), '|')[1]), 'placeholder') AS cell, line IS NOT NULL AND {ROW_SQL} AS structured FROM md WHERE line LIKE '|%'"))
-def table_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first cell of each pipe row, and whether it has structure."""
-    line = F.col("line")
-    return md_lines(spark, sf_dir).where(line.startswith("|")).select("doc_id", "pos", F.trim(F.get(F.split(F.regexp_replace(line, r"^\|+|\|+$", ""), r"\|"), F.lit(0))).alias("cell"), (line.rlike(r"^\|.*\|$") & ~line.rlike(r"^[|:\s-]+$")).alias("structured"))
-
-
 FORMATS = ("pdf", "docx", "html", "txt", "json", "mp3", "zip")
 
 

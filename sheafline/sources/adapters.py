@@ -53,8 +53,8 @@ def html_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L3: heading levels 1 to 5."""
-    return lines(spark, sf_dir).select("doc_id", "pos", "pk", (1 + F.pmod(F.col("pk") + F.col("ln"), F.lit(5))).cast("long").alias("level"))
+    """L3: heading levels 1 to 6."""
+    return lines(spark, sf_dir).select("doc_id", "pos", "pk", (1 + F.pmod(F.col("pk") + F.col("ln"), F.lit(6))).cast("long").alias("level"))
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +106,7 @@ CTE = {
     "md": _LI + """, md AS (SELECT doc_id, pos, pk, sk, CASE (pk * 7 + pos) % 9 WHEN 0 THEN '# Part ' || pk WHEN 1 THEN '## Supplier ' || sk WHEN 2 THEN 'ALL CAPS ' || pk WHEN 3 THEN '2.1 numbered ' || pk
   WHEN 4 THEN '- item ' || pk WHEN 5 THEN '1) step ' || pk WHEN 6 THEN '| a' || pk || ' | b |' WHEN 7 THEN '| --- | --- |' ELSE 'Plain **text** of part ' || pk || '.' END AS line FROM li)""",
     "el": f"""el AS (SELECT page_id, unnest(range(1, len(f) + 1))::BIGINT AS ord, unnest(f) AS label FROM (SELECT page_id, regexp_extract_all(html, '<({HTML_TAGS})[ >]', 1) AS f FROM pages))""",
-    "hd": _LI + ", hd AS (SELECT doc_id, pos, pk, (1 + (pk + ln) % 5)::BIGINT AS level FROM li)",
+    "hd": _LI + ", hd AS (SELECT doc_id, pos, pk, (1 + (pk + ln) % 6)::BIGINT AS level FROM li)",
     "bx": _LI + ", bx AS (SELECT doc_id, pos, pk, sk % 3 + 1 AS page, qty AS x0, qty + disc * 2000 + 5 AS x1, (pos * 30 + pk % 17)::DOUBLE AS y0, (pos * 30 + pk % 17)::DOUBLE + 20 AS y1 FROM li)",
     "ob": _LI + ", ob AS (SELECT doc_id, pos, pk, sk, rf, CASE WHEN pk % 2 = 0 AND pos > 1 THEN pos - 1 END AS dep, ls = 'F' AS satisfied, rf = 'A' AS selected FROM li)",
     "me": _LI + ", me AS (SELECT doc_id, pos, 'm' || k AS method, (sk * k) % 100 AS cost, rf = 'R' AND k = 1 AS tried, k <> pk % 5 AS available FROM li, (VALUES (1), (2), (3)) v(k))",
