@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -84,48 +85,59 @@ def callout_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reflow(code: str) -> str:
-    """Line breaks after braces and semicolons outside strings and parentheses, four blanks a level."""
-    out, line, depth, quote, paren = [], "", 0, "", 0
+    """A line a statement: breaks after braces, and after semicolons outside parentheses; strings are left as they are; four
+    blanks a level."""
+    out: list[str] = []
+    line, depth, paren, quote, escaped = "", 0, 0, "", False
 
-    def end() -> None:
-        nonlocal line
+    def end(shift: int = 0) -> None:
+        nonlocal line, depth
         if line.strip():
-            out.append("    " * max(0, depth - (line.strip() == "}")) + line.strip())
-        line = ""
+            out.append("    " * depth + line.strip())
+        line, depth = "", max(0, depth + shift)
 
-    for c in code.replace("\t", " "):
-        if quote:
-            line += c
-            quote = "" if c == quote else quote
+    for c in code:
+        if c == "\n" and not quote:
+            end()
             continue
-        if c in "\"'":
+        if c == "}" and not quote:
+            end(-1)
+        line += c
+        if quote:
+            quote, escaped = ("" if c == quote and not escaped else quote), c == "\\" and not escaped
+        elif c in "\"'":
             quote = c
-        paren += (c == "(") - (c == ")")
-        if c == "}" and paren <= 0:
-            end()
-            line = "}"
-            end()
-            depth = max(0, depth - 1)
-        elif c == "\n":
-            end()
-        else:
-            line += c
-            if c == "{" and paren <= 0:
-                end()
-                depth += 1
-            elif c == ";" and paren <= 0:
-                end()
+        elif c in "()":
+            paren = max(0, paren + (1 if c == "(" else -1))
+        elif c in "{}" or (c == ";" and not paren):
+            end(c == "{")
     end()
-    return "\n".join(out)
+    return re.sub(r"(?m)^(\s*)else\s*\{", r"\1else {", "\n".join(out))
+
+
+# Words and marks by which a text is code that has lost its lines.
+FLAT_WORDS = (" class ", "public ", "private ", " if ", " else ")
+FLAT_MARKS = "{};("
+
+
+def normal_code(text: str | None) -> str:
+    """Code with its own lines: tabs as blanks, flattened code re-flowed, single blanks inside lines, no two empty lines."""
+    text = re.sub(r"\t+", " ", (text or "").replace("\r\n", "\n").replace("\r", "\n"))
+    longest = max((len(x) for x in text.split("\n")), default=0)
+    if ("\n" not in text or longest > 140) and any(w in text for w in FLAT_WORDS) and any(m in text for m in FLAT_MARKS):
+        text = reflow(text)
+    lines_ = [re.match(r"\s*", x).group() + " ".join(x.split()) if x.strip() else "" for x in text.split("\n")]
+    kept = [x for i, x in enumerate(lines_) if x or (i and lines_[i - 1])]
+    return "\n".join(kept).strip("\n")
 
 
 @query()
 def code_reflow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T14 on code written from part names."""
-    code = F.concat(F.lit("class A{void "), F.translate("p_name", " ", "_"), F.lit("(int a;){if(a){String s=\"{;}\";return;}}}"))
+    code = F.concat(F.lit("public\tclass A{void "), F.translate("p_name", " ", "_"), F.lit("(int a;){ if (a){String s=\"{;}\";return;} else{x();}}}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([reflow(x) for x in batch.column(1).to_pylist()])], names=["id", "code"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([normal_code(x) for x in batch.column(1).to_pylist()])], names=["id", "code"])
 
     return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), code.alias("code")).mapInArrow(run, "id long, code string")

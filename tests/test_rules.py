@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from sheafline.functions import text as T
-from sheafline.operators.obligations import plan_order
 from sheafline.streaming import windows
 
 
@@ -46,14 +45,17 @@ def test_streaming_matches_batch(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == events.select("event_id").distinct().count()
 
 
-def test_plan_order_respects_dependencies(spark):
-    rows = plan_order(spark, "/root/testdata/sf0.001").collect()
-    step = {(r.doc_id, r.pos): r.step for r in rows}
-    from sheafline.sources.adapters import obligations
+def test_region_list_marker(spark):
+    assert one(spark, T.region_list_marker, "§ x", "1. x", "9.1 x", "b) x", "b)x", "2)", "o x", "x y") == [True, True, False, True, False, True, True, False]
 
-    for r in obligations(spark, "/root/testdata/sf0.001").collect():
-        if not r.satisfied and r.dep is not None and (r.doc_id, r.dep) in step:
-            assert step[r.doc_id, r.dep] < step[r.doc_id, r.pos]
+
+def test_plain_heading(spark):
+    got = one(spark, lambda x: T.plain_heading(x, F.lit(True)), "Título: A b", "CAPÍTULO 2 : C", "seção: d", "1.2.3 x", "LOUD", "Capítulo dois: x", "quiet")
+    assert [r and tuple(r) for r in got] == [(1, "A b"), (2, "C"), (2, "d"), (4, "1.2.3 x"), (1, "LOUD"), None, None]
+
+
+def test_clean_block_marks(spark):
+    assert one(spark, T.clean_block, "**a *b* c**", "a * b * c", "``x``", "x\n```\n\n\n\ny", "(3) # z", "# - 4. z", "1.x") == ["a b c", "a * b * c", "``x``", "x\n\ny", "# z", "z", "1.x"]
 
 
 def test_outline_formula():
@@ -75,5 +77,15 @@ def test_folds():
     got = marker_blocks([{"pos": i, "line": t} for i, t in enumerate(texts)])
     assert [(b["first"], b["last"], b["kind"]) for b in got] == [(0, 0, "paragraph"), (1, 3, "nota"), (4, 4, "paragraph"), (5, 6, "box")]
     assert reflow('a{b("x;{");c();}') == 'a{\n    b("x;{");\n    c();\n}'
+    assert reflow('s("a\\"};");if(x){y;} else {z;}') == 's("a\\"};");\nif(x){\n    y;\n}\nelse {\n    z;\n}'
     rows = [{"pos": i, "x0": x, "known": k} for i, (x, k) in enumerate([(0, True), (10, False), (20, False), (3, False), (0, True)])]
     assert [(g["first"], g["last"]) for g in anchor_groups(rows)] == [(0, 2)]
+
+
+def test_normal_code():
+    from sheafline.operators.folds import normal_code
+
+    assert normal_code("public class A {\tint  x; if (x){y(a;b);} }") == "public class A {\n    int x;\n    if (x){\n        y(a;b);\n    }\n}"
+    assert normal_code("a  b\r\n\n\n  c   d\n\n") == "a b\n\n  c d"
+    assert normal_code("int x; y") == "int x; y"
+    assert normal_code(None) == ""
