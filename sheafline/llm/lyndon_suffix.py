@@ -5,9 +5,9 @@ suffix a pointer to the nearest earlier suffix of a smaller group is found, and
 their groups by how often they are pointed at. Then groups are the classes of equal Lyndon prefix in lexicographic order.
 Phase two walks the array upwards and emits each predecessor chain at the front of its group. No renaming recursion.
 
-Here it runs over the contexts of a bucket: byte strings that share an anchor and stand aligned on it. The strings are cut
-where two neighbours in order part from each other on either side, so equal segments are single symbols and an array over
-tens of symbols stands for hundreds of bytes; every longest match begins and ends at a cut. Longest common prefixes of
+Here it runs over the contexts of a group: byte strings that share a prefix of variable length (their core) and stand
+aligned on it. The strings are cut where two neighbours in order part from each other on either side, so equal segments are
+single symbols and an array over a few symbols stands for hundreds of bytes; every longest match begins and ends at a cut. Longest common prefixes of
 neighbours in the array then give the farthest match for each start, and matches of the window's length are removed.
 """
 
@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .repeats import BUCKET_LIMIT, by_bucket, candidates, keyed, window_hashes
-from .units import BYTE_CODES, U64, mix, powers
+from .repeats import GROUP, RUNS, candidates, code_runs, keyed, matched, runs_of
+from .units import BYTE_CODES, U64, Rolling, mix, powers
 
 WINDOW = 200
 GRAM = 100
@@ -148,93 +148,133 @@ def _most(n: int, a: np.ndarray, b: np.ndarray, shared: np.ndarray) -> np.ndarra
     return out
 
 
-def array_solver(window: int, gram: int):
-    """For by_bucket: how far before and after the anchor repeated windows reach, for each context that has one."""
-    before, total = window - gram, 2 * window - gram
-
-    def solve(cols: dict[str, np.ndarray], raw: list[bytes]) -> dict[str, np.ndarray]:
-        full_left = cols["left"].astype(np.int64)
-        full_right = np.array([len(x) for x in raw], np.int64) - full_left
-        body = np.zeros((len(raw), total), np.uint8)
-        for i, x in enumerate(raw):
-            body[i, before - full_left[i] : before + full_right[i]] = np.frombuffer(x, np.uint8)
-        group = np.unique(cols["key"], return_inverse=True)[1].astype(np.int64)
-        far_back, far_on = np.full(len(raw), -1, np.int64), np.full(len(raw), -1, np.int64)
-        copies = cols["n"] > 1  # the whole context stands elsewhere too
-        far_back[copies], far_on[copies] = full_left[copies], full_right[copies]
-        backward = np.ascontiguousarray(body[:, :before][:, ::-1])
-        ra, rb, r, r_raw = _neighbours(body[:, before:], full_right, group)
-        la, lb, l, l_raw = _neighbours(backward, full_left, group)
-        # Beyond what it shares with a neighbour in order a string shares nothing with any other of its bucket.
-        right, left = _most(len(raw), ra, rb, r_raw), _most(len(raw), la, lb, l_raw)
-        right, left = np.minimum(right, full_right), np.minimum(left, full_left)
-        live = np.flatnonzero(left + right >= window)
-        if len(live):
-            back, on = _by_array(body[live], group[live], left[live], right[live], [(group[ra], before + r), (group[ra], before + r_raw), (group[la], before - l), (group[la], before - l_raw)], before, total, window)
-            far_back[live], far_on[live] = np.maximum(far_back[live], back), np.maximum(far_on[live], on)
-        keep = far_back >= 0
-        return {"key": cols["key"][keep], "context": cols["context"][keep], "back": far_back[keep].astype(np.int32), "reach": far_on[keep].astype(np.int32)}
-
-    def _by_array(body, group, left, right, marks, before, total, window):
-        """(back, on) of each string: -1 without a match of ``window`` bytes. marks: (group, column) of cuts."""
-        n, base = len(group), total + 1
-        cuts = np.unique(np.concatenate([*(g * base + c for g, c in marks), group * base + before - left, group * base + before + right]))
-        cut = cuts % base
-        lo = np.searchsorted(cuts, group * base + before - left)
-        hi = np.searchsorted(cuts, group * base + before + right)
-        many = hi - lo  # segments of each string
-        who = np.repeat(np.arange(n), many)
-        seg = np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
-        content = np.empty(len(who), U64)
-        up, down = powers(total + 1)
-        edge = np.concatenate([[0], np.cumsum(many)])
-        for i in range(0, n, 4096):  # prefix sums of some strings at a time
-            part = slice(edge[i], edge[min(n, i + 4096)])
-            sums = np.zeros((min(n, i + 4096) - i, total + 1), U64)
-            np.cumsum(BYTE_CODES[body[i : i + 4096]] * up[:total], axis=1, dtype=U64, out=sums[:, 1:])
-            row, k = who[part] - i, seg[part]
-            content[part] = mix((sums[row, cut[k + 1]] - sums[row, cut[k]]) * down[cut[k]])
-        pair = np.stack([seg.astype(U64), content], 1)
-        symbol = np.unique(pair, axis=0, return_inverse=True)[1].reshape(-1) + n + 1
-        # One sequence: string after string, each ended by a symbol of its own.
-        text = np.empty(len(who) + n, np.int64)
-        at = np.arange(len(who)) + who
-        text[at] = symbol
-        text[np.cumsum(many + 1) - 1] = np.arange(n) + 1
-        symbols = text.tolist()
-        array = suffix_array(symbols)
-        lcp = np.array([*common_prefixes(symbols, array), 0], np.int64)
-        best = np.empty(len(symbols), np.int64)
-        best[np.array(array, np.int64)] = np.maximum(lcp[:-1], lcp[1:])
-        reach = cut[seg + best[at]] - before
-        back = before - cut[seg]
-        ok = (back >= 0) & (back + reach >= window) & (best[at] > 0)
-        far_back, far_on = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
-        np.maximum.at(far_back, who[ok], back[ok])
-        np.maximum.at(far_on, who[ok], reach[ok])
-        return far_back, far_on
+def array_solver(window: int, gram: int, runs: int = RUNS):
+    """For matched: how far before and after the anchor repeated windows reach, for each context that has one.
+
+    A group in memory is divided by longer prefixes too. What the pieces of a key share is one symbol, the core; a piece
+    is the few bytes before it, the core and the few bytes after it. Equal pieces are one, and a key with one piece needs
+    no comparison. The others go to the suffix array.
+    """
+
+    def solve(cols: dict[str, np.ndarray], raw: pa.ChunkedArray) -> dict[str, np.ndarray]:
+        flat, begin, size = code_runs(raw, "byte")
+        p = runs_of(cols, begin, size, Rolling(BYTE_CODES[flat]), window, runs)
+        # Distinct pieces, ordered by key: ``one`` is a row of p for each, ``piece`` the piece of each row of p.
+        order = np.lexsort((p["context"], p["key"]))
+        key, context = p["key"][order], p["context"][order]
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (context[1:] != context[:-1])
+        piece = np.empty(len(order), np.int64)
+        piece[order] = np.cumsum(fresh) - 1
+        one = order[fresh]
+        n = np.bincount(piece, cols["n"][p["row"]], len(one))
+        key = p["key"][one]
+        group = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]])) if len(one) else np.zeros(0, np.int64)
+        lo, hi = p["lo"][one], p["hi"][one]
+        far_back, far_on = np.full(len(one), -1, np.int64), np.full(len(one), -1, np.int64)
+        copies = n > 1  # the whole piece stands elsewhere too
+        far_back[copies] = p["left"][one][copies]
+        far_on[copies] = (p["end"] - p["start"] - p["left"])[one][copies]
+        several = np.flatnonzero(np.bincount(group, minlength=1)[group] > 1)
+        if len(several):
+            pick = one[several]
+            core = p["start"][pick] + p["left"][pick] - lo[several]  # where the shared bytes begin
+            begun, ended = p["start"][pick], p["end"][pick]
+            back, on = _reach(flat, begun, core, core + window - hi[several] + lo[several], ended, group[several], hi[several] - lo[several])
+            hit = back >= 0
+            at = several[hit]
+            far_back[at] = np.maximum(far_back[at], lo[at] + back[hit])
+            far_on[at] = np.maximum(far_on[at], window - hi[at] + on[hit])
+        out_back, out_on = np.full(len(size), -1, np.int64), np.full(len(size), -1, np.int64)
+        np.maximum.at(out_back, p["row"], far_back[piece])
+        np.maximum.at(out_on, p["row"], far_on[piece])
+        keep = out_back >= 0
+        return {"key": cols["key"][keep], "context": cols["context"][keep], "back": out_back[keep].astype(np.int32), "reach": out_on[keep].astype(np.int32)}
 
     return solve
 
 
-def repeated_ranges(spark: SparkSession, docs: DataFrame, scratch: Scratch, window: int = WINDOW, gram: int = GRAM, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """(d, ranges): byte ranges of each document covered by windows that also start elsewhere."""
-    member, alone, small, large = candidates(spark, docs, scratch, "byte", window, gram, False, bucket_limit)
-    array = by_bucket(small, array_solver(window, gram), "key long, context long, back int, reach int")
-    w = scratch.put(window_hashes(large, window, gram, "byte"), "windows")
-    twice = w.groupBy("key", "shift", "hash").agg(F.sum("n").alias("all")).where("all > 1").drop("all")
-    counted = w.join(twice, ["key", "shift", "hash"]).groupBy("key", "context").agg(F.max("shift").cast("int").alias("back"), (window - F.min("shift")).cast("int").alias("reach"))
-    one = alone.select("key", "context", F.lit(window - gram).alias("back"), F.lit(window).alias("reach"))  # clipped at the ends later
-    found = scratch.put(one.unionByName(array).unionByName(counted), "found")
+def _reach(flat: np.ndarray, begun: np.ndarray, core: np.ndarray, core_end: np.ndarray, ended: np.ndarray, group: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How far each string matches another of its group before and after the core, -1 and -1 if ``need`` bytes don't."""
+    n, width = len(group), int(need.max()) + 1
+    full_left, full_right = core - begun, ended - core_end
+    body = np.zeros((n, 2 * width + 1), np.uint8)  # bytes before the core, the core's column, bytes after it
+
+    def put(start: np.ndarray, many: np.ndarray, column: np.ndarray) -> None:
+        row = np.repeat(np.arange(n), many)
+        k = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+        body[row, column[row] + k] = flat[start[row] + k]
+
+    put(begun, full_left, width - full_left)
+    put(core_end, full_right, np.full(n, width + 1))
+    right_side = np.ascontiguousarray(body[:, width + 1 :])
+    backward = np.ascontiguousarray(body[:, :width][:, ::-1])
+    ra, rb, r, r_raw = _neighbours(right_side, full_right, group)
+    la, lb, l, l_raw = _neighbours(backward, full_left, group)
+    # Beyond what it shares with a neighbour in order a string shares nothing with any other of its group.
+    right = np.minimum(_most(n, ra, rb, r_raw), full_right)
+    left = np.minimum(_most(n, la, lb, l_raw), full_left)
+    out_left, out_right = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+    live = np.flatnonzero(left + right >= need)
+    if len(live):
+        after = width + 1
+        marks = [(group[ra], after + r), (group[ra], after + r_raw), (group[la], width - l), (group[la], width - l_raw), (group, np.full(n, width)), (group, np.full(n, after))]
+        out_left[live], out_right[live] = _by_array(body[live], group[live], left[live], right[live], need[live], marks, width)
+    return out_left, out_right
+
+
+def _by_array(body: np.ndarray, group: np.ndarray, left: np.ndarray, right: np.ndarray, need: np.ndarray, marks: list[tuple[np.ndarray, np.ndarray]], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same from the suffix array of all strings; marks: (group, column) of cuts; the core's column is ``width``."""
+    n, total = body.shape
+    base, after = total + 1, width + 1
+    cuts = np.unique(np.concatenate([*(g * base + c for g, c in marks), group * base + width - left, group * base + after + right]))
+    cut = cuts % base
+    lo = np.searchsorted(cuts, group * base + width - left)
+    hi = np.searchsorted(cuts, group * base + after + right)
+    many = hi - lo  # segments of each string
+    who = np.repeat(np.arange(n), many)
+    seg = np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
+    up, down = powers(total + 1)
+    sums = np.zeros((n, total + 1), U64)
+    np.cumsum(BYTE_CODES[body] * up[:total], axis=1, dtype=U64, out=sums[:, 1:])
+    content = mix((sums[who, cut[seg + 1]] - sums[who, cut[seg]]) * down[cut[seg]])
+    symbol = np.unique(mix(content + seg.astype(U64) * U64(0x9E3779B97F4A7C15)), return_inverse=True)[1].reshape(-1) + n + 1
+    # One sequence: string after string, each ended by a symbol of its own.
+    text = np.empty(len(who) + n, np.int64)
+    at = np.arange(len(who)) + who
+    text[at] = symbol
+    text[np.cumsum(many + 1) - 1] = np.arange(n) + 1
+    symbols = text.tolist()
+    array = suffix_array(symbols)
+    lcp = np.array([*common_prefixes(symbols, array), 0], np.int64)
+    best = np.empty(len(symbols), np.int64)
+    best[np.array(array, np.int64)] = np.maximum(lcp[:-1], lcp[1:])
+    back = width - cut[seg]
+    on = cut[seg + best[at]] - after
+    ok = (back >= 0) & (on >= 0) & (back + on >= need[who]) & (best[at] > 0)
+    far_back, far_on = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+    np.maximum.at(far_back, who[ok], back[ok])
+    np.maximum.at(far_on, who[ok], on[ok])
+    return far_back, far_on
+
+
+def repeated_ranges(docs: DataFrame, scratch: Scratch, window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+    """(d, r, ranges): byte ranges of each document covered by windows that also start elsewhere."""
+    member, alone, several = candidates(docs, scratch, "byte", window, gram, False)
+    # A group with one context: all windows through the anchor are repeated. Ranges are clipped at the text's ends later.
+    one = lambda rows: rows.where("n > 1").select("key", "context", F.col("hi").alias("back"), (window - F.col("lo")).alias("reach"))
+    array = matched(several, scratch, array_solver(window, gram), "key long, context long, back int, reach int", one, "byte", window, group)
+    found = one(alone).unionByName(array).groupBy("key", "context").agg(F.max("back").alias("back"), F.max("reach").alias("reach"))
+    found = scratch.put(found, "found")
     return (
         member.join(found, ["key", "context"])
-        .select("d", F.struct((F.col("at") - F.col("back")).alias("s"), (F.col("at") + F.col("reach")).alias("e")).alias("r"))
-        .groupBy("d")
-        .agg(F.collect_set("r").alias("ranges"))
+        .select("d", "r", F.struct((F.col("at") - F.col("back")).alias("s"), (F.col("at") + F.col("reach")).alias("e")).alias("x"))
+        .groupBy("d", "r")
+        .agg(F.collect_set("x").alias("ranges"))
     )
 
 
-def deduplicate(spark: SparkSession, documents: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+def deduplicate(spark: SparkSession, documents: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """Remove each byte covered by a ``window``-byte string that also starts anywhere else in the documents.
 
     Texts are UTF-8 bytes, null is empty; overlaps count; matches don't cross documents. Returns one row per input row:
@@ -243,7 +283,7 @@ def deduplicate(spark: SparkSession, documents: DataFrame, window: int = WINDOW,
     """
     docs = keyed(documents)
     scratch = Scratch(spark, "lyndon-suffix")
-    ranges = scratch.put(repeated_ranges(spark, docs, scratch, window, gram, bucket_limit), "ranges")
+    ranges = scratch.put(repeated_ranges(docs, scratch, window, gram, group), "ranges")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,4 +310,4 @@ def deduplicate(spark: SparkSession, documents: DataFrame, window: int = WINDOW,
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.string()), pa.array(out[4], pa.binary()), pa.array(out[5], spans_type)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes", "spans"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.join(ranges, "d", "left").select("doc_id", "text", "ranges").mapInArrow(emit, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary, spans array<struct<begin:int,end:int>>")
+    return docs.join(ranges, ["d", "r"], "left").select("doc_id", "text", "ranges").mapInArrow(emit, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary, spans array<struct<begin:int,end:int>>")

@@ -1,8 +1,8 @@
 """Substring de-duplication by words: prefix-partitioned suffix trees.
 
-Suffixes of the corpus are split by the words that they begin with into groups that fit memory: first by the anchor gram
-that ends their prefix, and a group with too many different continuations by the whole window. In each group the subtree
-is built level by level from string depth 1 to the window length: a node is a class of suffixes that agree on so many
+Suffixes of the corpus are split by prefixes of variable length into groups that fit memory: first by the anchor gram that
+ends their prefix, and a group with too many different continuations by longer prefixes, again and again until it fits
+(:mod:`sheafline.llm.repeats`). A group of one context holds nothing to compare. In each other group the subtree is built level by level from string depth 1 to the window length: a node is a class of suffixes that agree on so many
 words, and a level splits every node by the words that follow (the depth doubles, the last step overlaps). Nodes at the
 window's depth with more than one leaf are the deep internal nodes; each gives its least document, and a leaf of a
 later document marks its window for removal.
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .repeats import BUCKET_LIMIT, by_bucket, candidates, keyed, window_hashes
+from .repeats import GROUP, candidates, code_runs, keyed, matched
 from .units import covered, text_blocks, words
 
 WINDOW = 50
@@ -51,12 +51,10 @@ def subtree_levels(codes: np.ndarray, starts: np.ndarray, depth: int) -> np.ndar
 
 
 def tree_solver(window: int, gram: int):
-    """For by_bucket: runs of window shifts of each context with the least document that has the window."""
+    """For matched: runs of window shifts of each context with the least document that has the window."""
 
-    def solve(cols: dict[str, np.ndarray], raw: list[bytes]) -> dict[str, np.ndarray]:
-        sizes = np.array([len(x) // 8 for x in raw], np.int64)
-        begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        codes = np.frombuffer(b"".join(raw), np.uint64)
+    def solve(cols: dict[str, np.ndarray], raw: pa.ChunkedArray) -> dict[str, np.ndarray]:
+        codes, begin, sizes = code_runs(raw, "word")
         shifts = np.arange(window - gram + 1)
         start = cols["left"][:, None].astype(np.int64) - shifts[None, :]
         ok = (start >= 0) & (start + window <= sizes[:, None])
@@ -79,32 +77,30 @@ def tree_solver(window: int, gram: int):
     return solve
 
 
-def repeated_ranges(spark: SparkSession, docs: DataFrame, scratch: Scratch, window: int = WINDOW, gram: int = GRAM, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """(d, ranges): word ranges of each document covered by windows that also start in an earlier document."""
-    member, alone, small, large = candidates(spark, docs, scratch, "word", window, gram, True, bucket_limit)
-    tree = by_bucket(small, tree_solver(window, gram), "key long, context long, lo int, hi int, first_doc long")
-    w = scratch.put(window_hashes(large, window, gram, "word"), "windows")
-    counted = w.join(w.groupBy("key", "shift", "hash").agg(F.min("least").alias("first_doc")), ["key", "shift", "hash"]).select("key", "context", F.col("shift").alias("lo"), F.col("shift").alias("hi"), "first_doc")
-    # A bucket with one context: every window through the anchor is the same in all its members. Ranges are clipped later.
-    one = alone.select("key", "context", F.lit(0).alias("lo"), F.lit(window - gram).alias("hi"), F.col("least").alias("first_doc"))
-    runs = one.unionByName(tree).unionByName(counted).groupBy("key", "context").agg(F.collect_list(F.struct("lo", "hi", "first_doc")).alias("runs"))
+def repeated_ranges(docs: DataFrame, scratch: Scratch, window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+    """(d, r, ranges): word ranges of each document covered by windows that also start in an earlier document."""
+    member, alone, several = candidates(docs, scratch, "word", window, gram, True)
+    # A group with one context: every window through the anchor is the same in all its members. Ranges are clipped later.
+    one = lambda rows: rows.select("key", "context", "lo", "hi", F.col("least").alias("first_doc"))
+    tree = matched(several, scratch, tree_solver(window, gram), "key long, context long, lo int, hi int, first_doc long", one, "word", window, group)
+    runs = one(alone).unionByName(tree).groupBy("key", "context").agg(F.collect_set(F.struct("lo", "hi", "first_doc")).alias("runs"))
     found = scratch.put(runs, "found")
     # All windows hold the anchor, so those to be removed from a member cover one range.
-    hits = member.join(found, ["key", "context"]).withColumn("runs", F.expr("filter(runs, r -> r.first_doc < d)")).where("size(runs) > 0")
-    one_range = F.struct(F.expr("at - array_max(transform(runs, r -> r.hi))").alias("s"), F.expr(f"at - array_min(transform(runs, r -> r.lo)) + {window}").alias("e"))
-    return hits.select("d", one_range.alias("r")).groupBy("d").agg(F.collect_set("r").alias("ranges"))
+    hits = member.join(found, ["key", "context"]).withColumn("runs", F.expr("filter(runs, w -> w.first_doc < d)")).where("size(runs) > 0")
+    one_range = F.struct(F.expr("at - array_max(transform(runs, w -> w.hi))").alias("s"), F.expr(f"at - array_min(transform(runs, w -> w.lo)) + {window}").alias("e"))
+    return hits.select("d", "r", one_range.alias("x")).groupBy("d", "r").agg(F.collect_set("x").alias("ranges"))
 
 
-def deduplicate(spark: SparkSession, documents: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+def deduplicate(spark: SparkSession, documents: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """Remove each word covered by a ``window``-word sequence that also starts in a document with a smaller doc_id.
 
     Words are runs of bytes other than 0x20 and 0x09 to 0x0D; a null text has none. Returns one row per input row with
-    doc_id, n_words, n_removed, kept_sha256 and kept_text. Repeated rows of one doc_id are one document and don't count
-    against each other; rows without doc_id come after all others. Columns other than doc_id and text are ignored.
+    doc_id, n_words, n_removed, kept_sha256 and kept_text. Rows of one doc_id are one document and don't count
+    against each other, whether their texts are the same or not; rows without doc_id come after all others. Columns other than doc_id and text are ignored.
     """
     docs = keyed(documents)
     scratch = Scratch(spark, "substring-tree")
-    ranges = scratch.put(repeated_ranges(spark, docs, scratch, window, gram, bucket_limit), "ranges")
+    ranges = scratch.put(repeated_ranges(docs, scratch, window, gram, group), "ranges")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,4 +121,4 @@ def deduplicate(spark: SparkSession, documents: DataFrame, window: int = WINDOW,
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.join(ranges, "d", "left").select("doc_id", "text", "ranges").mapInArrow(emit, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return docs.join(ranges, ["d", "r"], "left").select("doc_id", "text", "ranges").mapInArrow(emit, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string")

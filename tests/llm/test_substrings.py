@@ -25,18 +25,18 @@ def corpus(seed=5):
     return [(i, t, "x", "y") for i, t in rows]
 
 
-@pytest.mark.parametrize("limit", [2048, 3])
-def test_words(spark, limit):
+@pytest.mark.parametrize("group", [1024, 2])
+def test_words(spark, group):
     rows = corpus()
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_tree.deduplicate(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), bucket_limit=limit).collect()}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_tree.deduplicate(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), group=group).collect()}
     assert got == substring_words([(i, t) for i, t, _, _ in rows])
 
 
-@pytest.mark.parametrize("limit", [2048, 3])
-def test_bytes(spark, limit):
+@pytest.mark.parametrize("group", [1024, 2])
+def test_bytes(spark, group):
     rows = corpus()
     rows.append(rows[30])  # a repeated row
-    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in lyndon_suffix.deduplicate(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), bucket_limit=limit).collect()), key=str)
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in lyndon_suffix.deduplicate(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), group=group).collect()), key=str)
     assert got == substring_bytes([(i, t) for i, t, _, _ in rows])
 
 
