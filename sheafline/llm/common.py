@@ -6,6 +6,7 @@ import contextlib
 import gc
 import tempfile
 import uuid
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,14 +43,22 @@ def _local_dir() -> str:
 
 
 class Scratch:
-    """Parquet tables in the shared folder; they cut lineage and survive lost executors."""
+    """Parquet tables in the shared folder; they cut lineage and survive lost executors.
+
+    Tables that the result doesn't read are dropped by ``keep``; the others live until ``release`` or as long as the folder.
+    """
+
+    opened: ClassVar[list[Scratch]] = []
 
     def __init__(self, spark: SparkSession, what: str) -> None:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+        self.names: list[str] = []
+        Scratch.opened.append(self)
 
     def put(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         """Write ``df`` and read it back; shuffle files that fed it become free to be cleaned."""
         schema = df.schema
+        self.names.append(name)
         df.write.option("compression", codec).parquet(f"{self.root}/{name}")
         del df
         gc.collect()
@@ -63,6 +72,20 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+    def keep(self, *names: str) -> None:
+        """Drop all tables but these."""
+        for name in [n for n in self.names if n not in names]:
+            self.drop(name)
+            self.names.remove(name)
+
+    @staticmethod
+    def release(since: int) -> None:
+        """Drop the tables of all scratches that were opened after the first ``since``: their results have been written."""
+        for scratch in Scratch.opened[since:]:
+            scratch.drop("")
+        del Scratch.opened[since:]
+
+
 def connected_classes(edges: DataFrame, scratch: Scratch, name: str, max_rounds: int = 60) -> DataFrame:
     """Class of every node of an undirected edge list (``a``, ``b``): returns (``node``, ``root``), root the least node.
 
@@ -74,7 +97,7 @@ def connected_classes(edges: DataFrame, scratch: Scratch, name: str, max_rounds:
     last = None
     for k in range(1, max_rounds + 1):
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        low = scratch.put(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), f"{name}-low-{k}")  # a table, so the join below can split a hub
         # Large star: every larger neighbour moves to the least of the closed neighbourhood.
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # Small star: every node and its smaller neighbours move to the least of them.
@@ -83,6 +106,7 @@ def connected_classes(edges: DataFrame, scratch: Scratch, name: str, max_rounds:
         new = scratch.put(small.where("a <> b").distinct(), f"{name}-{k}")
         now = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         scratch.drop(f"{name}-{k - 1}")
+        scratch.drop(f"{name}-low-{k}")
         e = new
         if now == last:
             break

@@ -284,6 +284,7 @@ def deduplicate(spark: SparkSession, documents: DataFrame, window: int = WINDOW,
     docs = keyed(documents)
     scratch = Scratch(spark, "lyndon-suffix")
     ranges = scratch.put(repeated_ranges(docs, scratch, window, gram, group), "ranges")
+    scratch.keep("ranges")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

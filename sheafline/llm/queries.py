@@ -13,7 +13,7 @@ from .common import table
 def op1_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dup import near_duplicates
 
-    return near_duplicates(spark, table(spark, sf_dir, "documents"))
+    return near_duplicates(spark, table(spark, sf_dir, "documents")).drop("row_key")
 
 
 def op2_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,7 @@ def op3_substring_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
-    return toxicity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"))
+    return toxicity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"), "spans")
 
 
 def op6_license_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,6 +39,36 @@ def test_near_duplicates(spark, group_words):
     assert near_dup.near_duplicates(spark, df.limit(0)).count() == 0
 
 
+def test_large_groups_are_linked_across_blocks(spark):
+    """Chains of documents, each like the next only, dealt out to many blocks: the pivot joins few of them."""
+    w = [f"v{i}" for i in range(900)]
+    rows = [(i * 37 % 150, " ".join(w[4 * i : 4 * i + 100])) for i in range(150)] + [(500 + i, " ".join(w[:100] + [f"q{i}"])) for i in range(60)]
+    df = spark.createDataFrame([(i, t, "x", "y", "z") for i, t in rows], SCHEMA).repartition(3)
+    want = near_links(rows)
+    assert len(set(want.values())) == 1
+    assert {r.doc_id: r.class_id for r in near_dup.near_duplicates(spark, df, group_words=900).collect()} == want
+
+
+def test_rows_without_ids_and_shared_ids(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(1, a), (1, b), (2, b), (None, a), (None, b), (None, "c d e f g h"), (None, None), (None, None), (3, None), (1, a)]
+    got = near_dup.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), str(r.class_id), r.class_size) for r in got) == sorted(
+        [("1", "1", 3), ("1", "1", 3), ("None", "1", 3), ("1", "1", 3), ("2", "1", 3), ("None", "1", 3), ("None", "None", 1), ("None", "None", 2), ("None", "None", 2), ("3", "3", 1)]
+    )
+    assert sum(r.kept for r in got) == 5
+
+
+def test_recall_on_documents(spark):
+    """Pairs of sf0.001 with a shingle Jaccard of 0.8 or more, found by comparing all: nine in ten or more share a class."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for i, t in rows if (w := (t or "").split())}
+    pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(pairs) > 5
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.9 * len(pairs)
+
+
 def test_near_duplicates_that_repeat_differently(spark):
     rows = []
     for k in range(24):  # equal shingle sets but for the seam; the weighted similarity is about 0.56
