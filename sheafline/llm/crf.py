@@ -70,6 +70,69 @@ class ChainCRF:
             starts, stops = marginal[chains.first].sum(0), marginal[last].sum(0)
         return marginal, float(partition.sum()), moves, starts, stops
 
+    def marginals(self, emission: np.ndarray, offsets: np.ndarray, piece: int = 128) -> np.ndarray:
+        """Exact marginals of chains of any length, in a number of vector steps that grows with the length only by 1 / piece.
+
+        Chains are cut in pieces. The product of a piece's transitions, from the label before it to its last, is one small
+        matrix; messages run over these matrices, piece by piece, and then all pieces run at once between their messages.
+        """
+        n, labels = emission.shape
+        size = np.diff(offsets)
+        many = -(-size // piece)
+        chain = np.repeat(np.arange(len(size)), many)
+        number = np.arange(len(chain)) - np.repeat(np.cumsum(many) - many, many)
+        begin = offsets[:-1][chain] + piece * number
+        pieces = Chains(np.append(begin, n))
+        if not pieces.steps:
+            return np.zeros((n, labels))
+        order = np.searchsorted(begin, pieces.first)  # pieces in the order of their visits
+        later = number[order] > 0  # only these have a label before them
+        step = np.empty((len(begin), labels, labels))
+        for t in range(pieces.steps if later.any() else 0):
+            on = later[: pieces.active[t]]
+            at, k = pieces.at(t)[on], order[: pieces.active[t]][on]
+            step[k] = (self.move[None] if t == 0 else _lse(step[k][:, :, :, None] + self.move[None, None], 2)) + emission[at][:, None, :]
+        head = np.flatnonzero(number == 0)
+        length = many[chain[head]]
+        into, onto = np.empty((len(begin), labels)), np.empty((len(begin), labels))  # before the first and after the last label
+        into[head] = -np.inf
+        last = head + length - 1
+        onto[last] = self.stop
+        # The first piece has no label before it: its message is made from its own forward pass below.
+        alpha = np.empty((n, labels))
+        first_end = self._forward(alpha, emission, begin[head], np.minimum(begin[head] + piece, offsets[1:][chain[head]]), None)
+        carry = first_end
+        for j in range(1, int(length.max())):
+            on = np.flatnonzero(length > j)
+            into[head[on] + j] = carry[on]
+            carry[on] = _lse(carry[on][:, :, None] + step[head[on] + j], 1)
+        for j in range(int(length.max()) - 1, 0, -1):
+            on = np.flatnonzero(length > j)
+            k = head[on] + j
+            onto[k - 1] = _lse(step[k] + onto[k][:, None, :], 2)
+        rest = np.flatnonzero(number > 0)
+        end = np.minimum(begin + piece, offsets[1:][chain])
+        self._forward(alpha, emission, begin[rest], end[rest], into[rest])
+        beta = np.empty((n, labels))
+        beta[end - 1] = onto
+        for t in range(pieces.steps - 1, 0, -1):
+            at = pieces.at(t)
+            beta[at - 1] = _lse(self.move[None] + (beta[at] + emission[at])[:, None, :], 2)
+        both = alpha + beta
+        return np.exp(both - _lse(both, 1)[:, None])
+
+    def _forward(self, alpha: np.ndarray, emission: np.ndarray, begin: np.ndarray, end: np.ndarray, into: np.ndarray | None) -> np.ndarray:
+        """Fill ``alpha`` from begin to end, after the message ``into`` or at a chain's start; returns it at the last places."""
+        if not len(begin):
+            return np.empty((0, alpha.shape[1]))
+        order = np.argsort(begin - end, kind="stable")
+        first, size = begin[order], (end - begin)[order]
+        alpha[first] = emission[first] + (self.start if into is None else _lse(into[order][:, :, None] + self.move[None], 1))
+        for t in range(1, int(size[0])):
+            at = first[: int(np.searchsorted(-size, -t, "left"))] + t
+            alpha[at] = emission[at] + _lse(alpha[at - 1][:, :, None] + self.move[None], 1)
+        return alpha[end - 1]
+
     def viterbi(self, emission: np.ndarray, chains: Chains) -> np.ndarray:
         """The best label of every position."""
         n, labels = emission.shape

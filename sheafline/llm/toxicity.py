@@ -2,9 +2,10 @@
 
 Token labels come from the document labels of a bounded training sample: in toxic documents the tokens with a word or
 prefix that stands in toxic documents far more often than in others are toxic tokens, all other tokens are clean. The field
-learns words, prefixes and their neighbours from three of the four training folds. Chains are lines, cut after
-``CHAIN`` words. A document's score is a logistic function of the expected number of toxic tokens and of the largest
-marginal, fitted on the fourth fold, whose documents the field hasn't seen. Every word of every text is scored.
+learns words, prefixes and their neighbours from three of the four training folds. Chains are lines of any length; their
+marginals are exact. A document's score is a logistic function of the sum of its squared marginals, to which thousands of
+clean words add nothing, and of the largest marginal, fitted on the fourth fold, whose documents the field hasn't seen.
+Every word of every text is scored.
 """
 
 from __future__ import annotations
@@ -19,10 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .crf import ChainCRF, Chains
+from .crf import ChainCRF
 from .units import BYTE_CODES, U64, Rolling, mix, text_blocks, words
 
-CHAIN = 128
 TABLE = 1 << 17
 PREFIXES = (4, 5, 6)
 #: At most so many training documents of each label, of at most so many bytes each.
@@ -56,11 +56,7 @@ def tokenise(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     columns = [roll.at(starts, ends)]
     columns += [mix(roll.at(starts, np.minimum(starts + k, ends)) + U64(k)) for k in PREFIXES]
     breaks = np.searchsorted(starts, np.flatnonzero(data == 10), "left")
-    edges = np.unique(np.concatenate([at, breaks]))
-    size = np.diff(edges)
-    many = -(-size // CHAIN)
-    inner = np.repeat(edges[:-1], many) + CHAIN * (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
-    return Tokens(starts, ends, at, np.append(inner, len(starts)), np.stack(columns, 1))
+    return Tokens(starts, ends, at, np.unique(np.concatenate([at, breaks, [0, len(starts)]])), np.stack(columns, 1))
 
 
 def features(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
@@ -100,20 +96,19 @@ class Model:
         if not len(t.starts):
             return np.zeros(0)
         f, begin = features(t)
-        return self.field.forward_backward(self.field.scores(f, begin), Chains(t.chains))[0][:, 1]
+        return self.field.marginals(self.field.scores(f, begin), t.chains)[:, 1]
 
     def score(self, t: Tokens, p: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(summary(t, p) @ self.logistic)))
 
 
 def summary(t: Tokens, p: np.ndarray) -> np.ndarray:
-    """Per document: 1, the log of the expected toxic tokens, the largest marginal."""
+    """Per document: 1, the log of one and the sum of squared marginals, the largest marginal."""
     n = len(t.at) - 1
     out = np.zeros((n, 3))
     out[:, 0] = 1
     doc = np.repeat(np.arange(n), np.diff(t.at))
-    strong = p > 0.01  # thousands of clean words must not add up to a toxic one
-    out[:, 1] = np.log1p(np.bincount(doc[strong], p[strong], minlength=n))
+    out[:, 1] = np.log1p(np.bincount(doc, p * p, minlength=n))
     np.maximum.at(out[:, 2], doc, p)
     return out
 
@@ -242,6 +237,7 @@ def learn(spark: SparkSession, documents: DataFrame, labels: DataFrame, each: in
     ids = [r for v in (0, 1) for r in y.where(F.col("toxic") == v).orderBy("h", "doc_id").limit(each).collect()]
     chosen = F.broadcast(spark.createDataFrame([(r.doc_id, r.toxic) for r in ids], "doc_id long, toxic int"))  # at most 2 * each rows
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= max_bytes).join(chosen, "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # one text a doc_id, so the sample's bound holds
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sample = [r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True)]
@@ -252,8 +248,9 @@ def learn(spark: SparkSession, documents: DataFrame, labels: DataFrame, each: in
     return Model.unpack(bytes(found.model)) if found else train([])
 
 
-def tag(model_of, documents: DataFrame, spans: bool = True, spark: SparkSession | None = None) -> DataFrame:
-    """Score rows with a trained model: doc_id, held_out, score, predicted and spans (byte begin, end, marginal).
+def tag(model_of, documents: DataFrame, spans: bool = True, spark: SparkSession | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Score rows with a trained model: doc_id, held_out, score, predicted, spans (byte begin, end, marginal) and the
+    ``carry`` columns.
 
     Spans are runs of tokens whose marginal is 0.5 or more. Null and empty texts have no spans and the score of a text
     without toxic words. Extra columns are ignored; repeated rows get equal scores.
@@ -281,10 +278,12 @@ def tag(model_of, documents: DataFrame, spans: bool = True, spark: SparkSession
                         mine.append({"begin": int(t.starts[k] - offsets[d]), "end": int(t.ends[k] - offsets[d]), "marginal": float(p[k])})
                     last = k
             s = np.concatenate(score) if score else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(found, spans_type)], names=["doc_id", "held_out", "score", "predicted", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(found, spans_type), *batch.columns[3:]], names=["doc_id", "held_out", "score", "predicted", "spans", *batch.schema.names[3:]])
 
-    rows = documents.select("doc_id", F.col("text").cast("string").alias("text"), (fold_of() == 0).alias("held_out"))
-    return rows.mapInArrow(emit, f"doc_id {kind}, held_out boolean, score double, predicted int, spans array<struct<begin:int,end:int,marginal:double>>")
+    rows = documents.select("doc_id", F.col("text").cast("string").alias("text"), (fold_of() == 0).alias("held_out"), *[F.col(c).alias(f"carry_{c}") for c in carry])
+    more = "".join(f", carry_{c} {documents.schema[c].dataType.simpleString()}" for c in carry)
+    out = rows.mapInArrow(emit, f"doc_id {kind}, held_out boolean, score double, predicted int, spans array<struct<begin:int,end:int,marginal:double>>{more}")
+    return out.select("doc_id", "held_out", "score", "predicted", "spans", *[F.col(f"carry_{c}").alias(c) for c in carry])
 
 
 def toxicity(spark: SparkSession, documents: DataFrame, labels: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
