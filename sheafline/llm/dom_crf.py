@@ -46,10 +46,68 @@ ATTRIBUTE_WORD = re.compile(r"[a-z]+")
 
 
 class Block:
-    __slots__ = ("ancestors", "linked", "parts", "text", "words")
-
-    def __init__(self, ancestors: tuple[str, ...], words: tuple[str, ...]) -> None:
-        self.ancestors, self.words, self.parts, self.linked, self.text = ancestors, words, [], 0, ""
+    """A run of text. ``context``: numbers of the features of its open elements; ``base``: their emission scores' sum."""
+
+    __slots__ = ("base", "context", "linked", "parts", "path", "text")
+
+    def __init__(self, path: list[str], context: frozenset[int], base: np.ndarray | None) -> None:
+        self.path, self.context, self.base, self.parts, self.linked, self.text = path, context, base, [], 0, ""
+
+
+class Open:
+    """The open elements. Every question about them, and every change, costs no more than what it pushes or pops, so a page
+    with many unclosed elements takes time in proportion to its length."""
+
+    def __init__(self, emit: np.ndarray | None) -> None:
+        self.emit = emit
+        self.names: list[str] = []
+        self.numbers: list[tuple[int, ...]] = []
+        self.shut: list[bool] = []  # its text doesn't show
+        self.barriers = [0]  # barriers among the first k elements
+        self.where: dict[str, list[int]] = {}
+        self.path: list[str] = []  # those that aren't inline
+        self.count: dict[int, int] = {}  # open elements that give a feature
+        self.base = np.zeros(emit.shape[1]) if emit is not None else None
+        self.hidden = 0
+
+    def push(self, name: str, words: tuple[str, ...] | None) -> None:
+        group = "heading" if name in HEADINGS else name
+        self.where.setdefault(group, []).append(len(self.names))
+        numbers = tuple(_number(f"word:{w}") for w in words or ())
+        if name not in INLINE:
+            self.path.append(name)
+            numbers += (_number(f"anc:{name}"),)
+        for x in numbers:
+            self.count[x] = now = self.count.get(x, 0) + 1
+            if now == 1 and self.base is not None:
+                self.base = self.base + self.emit[x]
+        self.names.append(name)
+        self.numbers.append(numbers)
+        self.shut.append(name in HIDDEN or words is None)
+        self.hidden += self.shut[-1]
+        self.barriers.append(self.barriers[-1] + (name in BARRIER))
+
+    def last(self, group: str) -> int | None:
+        found = self.where.get(group)
+        return found[-1] if found else None
+
+    def barrier_above(self, k: int) -> bool:
+        return self.barriers[-1] > self.barriers[k + 1]
+
+    def leave(self, k: int) -> None:
+        while len(self.names) > k:
+            name = self.names.pop()
+            self.where["heading" if name in HEADINGS else name].pop()
+            if name not in INLINE:
+                self.path.pop()
+            for x in self.numbers.pop():
+                self.count[x] -= 1
+                if not self.count[x]:
+                    del self.count[x]
+                    if self.base is not None:
+                        self.base = self.base - self.emit[x]
+            self.hidden -= self.shut.pop()
+            self.barriers.pop()
 
 
 @lru_cache(maxsize=4096)
@@ -67,25 +125,26 @@ def _attributes(raw: str) -> tuple[str, ...] | None:
     return tuple(dict.fromkeys(found))
 
 
-def blocks(page: str) -> list[Block]:
-    """Leaf blocks with text, in page order. Unclosed and stray tags are tolerated."""
+def blocks(page: str, emit: np.ndarray | None = None) -> list[Block]:
+    """Leaf blocks with text, in page order. Unclosed and stray tags are tolerated.
+
+    With ``emit``, the field's scores, blocks get the sum of their context's scores in place of its numbers.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    hidden = 0  # open elements whose text doesn't show
+    stack = Open(emit)
     here: Block | None = None
-    links = 0
 
     def text(raw: str) -> None:
         nonlocal here
-        if hidden or not raw:
+        if stack.hidden or not raw:
             return
         if here is None:
             if raw.isspace():
                 return
-            here = Block(tuple(t for t, _ in stack if t not in INLINE), tuple(dict.fromkeys(w for _, ws in stack for w in ws or ())))
+            here = Block(stack.path[-2:], frozenset(stack.count) if emit is None else frozenset(), stack.base)
         raw = html.unescape(raw) if "&" in raw else raw
         here.parts.append(raw)
-        if links:
+        if stack.where.get("a"):
             here.linked += len(raw)
 
     def flush() -> None:
@@ -96,13 +155,6 @@ def blocks(page: str) -> list[Block]:
                 out.append(here)
             here = None
 
-    def leave(k: int) -> None:
-        nonlocal hidden, links
-        for name, words in stack[k:]:
-            hidden -= name in HIDDEN or words is None
-            links -= name == "a"
-        del stack[k:]
-
     at, n = 0, len(page)
     while at < n:
         m = TOKEN.search(page, at)
@@ -122,9 +174,9 @@ def blocks(page: str) -> list[Block]:
                 continue
             flush()
         if m[1]:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name or name in HEADINGS and stack[k][0] in HEADINGS), None)
-            if k is not None and not (name in INLINE and any(t in BARRIER for t, _ in stack[k + 1 :])):
-                leave(k)
+            k = stack.last("heading" if name in HEADINGS else name)
+            if k is not None and not (name in INLINE and stack.barrier_above(k)):
+                stack.leave(k)
             continue
         if name in VOID or m[3].endswith("/") and name not in RAW:
             continue
@@ -133,20 +185,12 @@ def blocks(page: str) -> list[Block]:
             at = end.end() if end else n
             continue
         for other in CLOSES.get(name, ("p",) if name in ENDS_P else ()):
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == other:
-                    leave(k)
-                    break
-                if stack[k][0] in BARRIER:
-                    break
-        if name == "body":
-            k = next((k for k, (t, _) in enumerate(stack) if t == "head"), None)
-            if k is not None:
-                leave(k)
-        words = _attributes(m[3]) if m[3] else ()
-        stack.append((name, words))
-        hidden += name in HIDDEN or words is None
-        links += name == "a"
+            k = stack.last(other)
+            if k is not None and not stack.barrier_above(k):
+                stack.leave(k)
+        if name == "body" and (k := stack.last("head")) is not None:
+            stack.leave(k)
+        stack.push(name, _attributes(m[3]) if m[3] else ())
     flush()
     return out
 
@@ -159,17 +203,16 @@ def _number(name: str) -> int:
     return 1 + (h ^ h >> 15) % (TABLE - 1)
 
 
-def features(page: list[Block]) -> list[list[int]]:
+def own_features(page: list[Block]) -> list[list[int]]:
+    """Numbers of the traits of each block's text and place, apart from its context, and of the bias."""
     out = []
     n = len(page)
     for k, b in enumerate(page):
         text, size = b.text, len(b.text)
-        last = b.ancestors[-1] if b.ancestors else "none"
+        last = b.path[-1] if b.path else "none"
         length = min(8, size.bit_length())
         share = b.linked * 4 // max(1, size)
-        names = [f"anc:{t}" for t in set(b.ancestors)]
-        names += [f"word:{w}" for w in b.words]
-        names += [f"last:{last}", f"path:{'/'.join(b.ancestors[-2:])}", f"long:{length}", f"link:{min(3, share)}", f"last-long:{last}:{length}"]
+        names = [f"last:{last}", f"path:{'/'.join(b.path)}", f"long:{length}", f"link:{min(3, share)}", f"last-long:{last}:{length}"]
         names.append("place:first" if k == 0 else "place:last" if k == n - 1 else "place:inner")
         names.append("ends" if text[-1] in ".!?…:;\"»”'" else "no-end")
         if text[0] in "©®" or "©" in text[:40]:
@@ -182,6 +225,18 @@ def features(page: list[Block]) -> list[list[int]]:
     return out
 
 
+def features(page: list[Block]) -> list[list[int]]:
+    """Numbers of all features, for pages that were read without scores."""
+    return [[*own, *sorted(b.context)] for own, b in zip(own_features(page), page, strict=True)]
+
+
+def page_scores(model: ChainCRF, pages: list[list[Block]]) -> np.ndarray:
+    """Emission scores of the blocks of pages that were read with the model's."""
+    rows = [f for page in pages for f in own_features(page)]
+    flat = np.array([x for row in rows for x in row], np.int64)
+    return model.scores(flat, np.cumsum([0, *(len(x) for x in rows)])) + np.array([b.base for page in pages for b in page])
+
+
 LINES = "news about contact home topics world sport terms privacy archive search login help shop team".split()
 
 
@@ -314,14 +369,11 @@ def train(pages: list[tuple[str, list[tuple[str, int]]]] | None = None) -> Chain
 
 def main_texts(model: ChainCRF, pages: list[str | None]) -> list[str]:
     """The main text of every page: its blocks that Viterbi decoding labels so, joined by one blank."""
-    found = [blocks(p) if p else [] for p in pages]
-    rows = [f for page in found for f in features(page)]
-    if not rows:
+    found = [blocks(p, model.emit) if p else [] for p in pages]
+    if not any(found):
         return ["" for _ in pages]
-    flat = np.array([x for row in rows for x in row], np.int64)
-    begin = np.cumsum([0, *(len(x) for x in rows)])
     offsets = np.cumsum([0, *(len(p) for p in found)])
-    label = model.viterbi(model.scores(flat, begin), Chains(offsets))
+    label = model.viterbi(page_scores(model, found), Chains(offsets))
     return [" ".join(b.text for b, y in zip(page, label[offsets[k] : offsets[k + 1]].tolist(), strict=True) if y) for k, page in enumerate(found)]
 
 

@@ -66,6 +66,18 @@ def test_field_against_enumeration():
         assert v[a:b].tolist() == paths[int(s.argmax())]
 
 
+@pytest.mark.parametrize("piece", [1, 2, 3, 7, 128])
+def test_marginals_in_pieces(piece):
+    r = np.random.default_rng(8)
+    for labels in (2, 3):
+        f = crf.ChainCRF(labels, 6)
+        f.emit, f.move, f.start, f.stop = r.normal(size=(6, labels)) * 3, r.normal(size=(labels, labels)), r.normal(size=labels), r.normal(size=labels)
+        offsets = np.array([0, 0, 5, 6, 29, 29, 31, 400])
+        e = f.scores(r.integers(0, 6, 400), np.arange(401))
+        assert np.allclose(f.marginals(e, offsets, piece), f.forward_backward(e, crf.Chains(offsets))[0])
+    assert f.marginals(np.zeros((0, 3)), np.array([0, 0]), piece).shape == (0, 3)
+
+
 PAGES = [
     ("<html><body><nav><ul><li><a href=x>Menu</a></li></ul></nav><article><h1>A &amp; B</h1><p>One   line,\n here.<p>Two<br>three &eacute;&nbsp;x.</article><footer>&copy; them</footer>", "A & B One line, here. Two three é x."),
     ("<body><header><h1>Site</h1></header><div class='cookie-notice'><p>We use cookies, a lot of them.</p></div><div id=content><h1>Title of it</h1><p>Body text of the page, in sentences.</p></div><aside>Related things</aside><div class=comments><p>First! I like it, really.</p></div></body>", "Title of it Body text of the page, in sentences."),
@@ -92,6 +104,33 @@ def test_hidden_inside_other_attributes(attribute):
     assert [b.text for b in found] == ["Some linked words."]
 
 
+def test_scores_are_those_of_all_features():
+    model = dom_crf.train(dom_crf.training_pages(seed=3, count=60))
+    odd = "<div class='a b'><p>x<b class=c>y<div>z</b></p><h2>t</h3>u</b><ul><li>v<li class=a>w</ul></div></i>end<a href=q>link</a> more"
+    for page in [odd, "<p>a<p>b</td><tr><td>c<td>d", *(p for p, _ in dom_crf.training_pages(seed=4, count=40))]:
+        with_numbers, with_scores = dom_crf.blocks(page), dom_crf.blocks(page, model.emit)
+        rows = dom_crf.features(with_numbers)
+        want = model.scores(np.array([x for f in rows for x in f]), np.cumsum([0, *(len(f) for f in rows)]))
+        assert np.allclose(dom_crf.page_scores(model, [with_scores]), want)
+        assert [b.text for b in with_numbers] == [b.text for b in with_scores]
+
+
+@pytest.mark.parametrize("piece", ["<div class='k{}'>x", "<b>y</i></b></b>", "<p><b>z</h2>", "<h1>w</td>", "<ul><li><a>q</b>", "</b></x>t<i>"])
+def test_deep_pages_take_linear_time(piece):
+    import time
+
+    model = dom_crf.train(dom_crf.training_pages(seed=3, count=60))
+
+    def seconds(n):
+        page = "".join(piece.replace("{}", "abcdefgh"[i % 8] * (1 + i % 7)) for i in range(n))
+        began = time.process_time()
+        dom_crf.main_texts(model, [page])
+        return time.process_time() - began
+
+    seconds(500)
+    assert seconds(40_000) < 16 * seconds(5_000) + 0.5
+
+
 def test_math_text_is_kept():
     page = "<article><h1>A title of it</h1><p>Let <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x=2</annotation></semantics></math> be so, in words.</p></article>"
     assert dom_crf.main_texts(dom_crf.train(), [page]) == ["A title of it Let x=2 be so, in words."]
