@@ -4,8 +4,10 @@ A source's share of all tokens is raised to an exponent between 0 (uniform) and
 is bisected inside one SQL expression over the list of sources: the largest that reaches ``entropy`` of the greatest
 possible entropy, but no less than the smallest that keeps every source within ``max_epochs`` repetitions. The weights
 become token budgets. A source's rows are dealt into blocks by hash; whole epochs repeat every block, and a last, partial
-epoch takes blocks in a hashed permutation until the budget is reached, and rows of the block at the edge in a hashed
-permutation of their own. Only sums by source and block are ordered, never the rows of a source.
+epoch takes blocks in a hashed permutation until the budget is reached, and rows of the block at the edge that are no longer
+than what is left, in a hashed permutation of their own, while they fit. Only sums by source and block are ordered, never
+the rows of a source; and as a large source has many blocks, their order is cut in ``STRETCHES`` stretches of the hash: sums
+of stretches first, then blocks inside a stretch, so no task orders all blocks of a source.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ ENTROPY = 0.95
 MAX_EPOCHS = 4.0
 BLOCK_TOKENS = 100_000
 STEPS = 60
+STRETCHES = 1 << 12
 
 #: H and the most repetitions at exponent m, over s: array<struct<source, n, p>> (p > 0); both fall as m rises.
 _Z = "aggregate(s, 0D, (a, x) -> a + pow(x.p, m))"
@@ -63,7 +66,8 @@ def mix(spark: SparkSession, documents: DataFrame, entropy: float = ENTROPY, max
 
     Tokens are words (runs of bytes other than 0x20 and 0x09 to 0x0D); null texts have none. A null source is ''. Rows of a
     source without tokens are used once, with weight 0. No source gets more tokens than its budget; repeated rows are rows
-    of their own but share a hash, so they are used together where they fit. Extra columns are ignored.
+    of their own but share a hash, so they are used together where they fit; rows without doc_id are hashed by their text.
+    Extra columns are ignored.
     """
     scratch = Scratch(spark, "mixing")
     text = "coalesce(cast(text AS string), '')"
@@ -71,7 +75,7 @@ def mix(spark: SparkSession, documents: DataFrame, entropy: float = ENTROPY, max
         "doc_id",
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
         F.expr(_spaces(f"cast(size({word_list(text)}) AS bigint)")).alias("tokens"),
-        F.expr("coalesce(cast(doc_id AS string), '')").alias("key"),
+        F.expr(f"coalesce(cast(doc_id AS string), concat('text/', md5({text})))").alias("key"),  # rows without an id spread by text
         *[F.col(c).alias(f"carry_{c}") for c in carry],
     )
     rows = scratch.put(rows, "rows")
@@ -80,13 +84,18 @@ def mix(spark: SparkSession, documents: DataFrame, entropy: float = ENTROPY, max
     dealt = rows.join(plan, "source", "left").withColumn("block", F.expr(f"coalesce({_hash('key')} % blocks, 0L)"))
     blocks = dealt.where("whole IS NOT NULL").groupBy("source", "block").agg(F.sum("tokens").alias("n"), F.max("whole").alias("whole"), F.max("rest").alias("rest"))
     numbered = blocks.withColumn("epoch", F.explode(F.expr("sequence(0, whole)"))).withColumn("order", F.expr(_hash("source", "cast(block AS string)", "cast(epoch AS string)")))
-    in_epoch = Window.partitionBy("source", "epoch").orderBy("order", "block")
-    numbered = numbered.withColumn("block_rank", F.row_number().over(in_epoch)).withColumn("end", F.sum("n").over(in_epoch.rowsBetween(Window.unboundedPreceding, 0)))
+    numbered = scratch.put(numbered.withColumn("stretch", F.expr(f"cast(order DIV {(1 << 60) // STRETCHES} AS int)")), "numbered")
+    stretches = numbered.groupBy("source", "epoch", "stretch").agg(F.sum("n").alias("s_n"), F.count("*").alias("s_count"))
+    earlier = Window.partitionBy("source", "epoch").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)  # STRETCHES rows at most
+    stretches = stretches.withColumn("n_before", F.coalesce(F.sum("s_n").over(earlier), F.lit(0))).withColumn("rank_before", F.coalesce(F.sum("s_count").over(earlier), F.lit(0)))
+    numbered = numbered.join(stretches.drop("s_n", "s_count"), ["source", "epoch", "stretch"])
+    inside = Window.partitionBy("source", "epoch", "stretch").orderBy("order", "block")
+    numbered = numbered.withColumn("block_rank", (F.col("rank_before") + F.row_number().over(inside)).cast("int")).withColumn("end", F.col("n_before") + F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     # Of the last epoch: blocks within the budget, and what is left of it for the block at the edge.
     numbered = numbered.withColumn("room", F.expr("CASE WHEN epoch < whole OR end <= rest THEN NULL ELSE rest - (end - n) END")).where("room IS NULL OR room > 0")
     used = scratch.put(numbered.select("source", "block", "epoch", "block_rank", "room"), "blocks")
     full = dealt.join(used.where("room IS NULL").drop("room"), ["source", "block"])
-    edge = dealt.join(used.where("room IS NOT NULL"), ["source", "block"]).withColumn("order", F.expr(_hash("key", "cast(epoch AS string)")))
+    edge = dealt.join(used.where("room IS NOT NULL"), ["source", "block"]).where("tokens <= room").withColumn("order", F.expr(_hash("key", "cast(epoch AS string)")))
     inside = Window.partitionBy("source", "block").orderBy("order", "key").rowsBetween(Window.unboundedPreceding, 0)
     edge = edge.withColumn("end", F.sum("tokens").over(inside)).where("end <= room")
     bare = dealt.where("whole IS NULL").withColumn("epoch", F.lit(0)).withColumn("block_rank", F.lit(1))
@@ -96,7 +105,7 @@ def mix(spark: SparkSession, documents: DataFrame, entropy: float = ENTROPY, max
 
 #: The same in DuckDB's SQL, with the weights rounded as the query rounds them.
 SQL = rf"""
-WITH RECURSIVE docs AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(doc_id::VARCHAR, '') AS key,
+WITH RECURSIVE docs AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(doc_id::VARCHAR, 'text/' || md5(coalesce(text, ''))) AS key,
     len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS tokens FROM documents),
 sums AS (SELECT source, sum(tokens)::BIGINT AS n FROM docs GROUP BY source HAVING sum(tokens) > 0),
 shares AS (SELECT source, n, n / (SELECT sum(n) FROM sums)::DOUBLE AS p FROM sums),
@@ -123,7 +132,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY source, epoch ORDER BY o, b
     sum(n) OVER (PARTITION BY source, epoch ORDER BY o, block ROWS UNBOUNDED PRECEDING) AS ends FROM ordered),
 used AS (SELECT source, block, epoch, block_rank, CASE WHEN epoch < whole OR ends <= rest THEN NULL ELSE rest - (ends - n) END AS room FROM ranked),
 edge AS (SELECT d.*, u.epoch, u.block_rank, u.room, sum(tokens) OVER (PARTITION BY d.source, d.block ORDER BY ('0x' || substr(md5(key || '/' || u.epoch), 1, 15))::BIGINT, key ROWS UNBOUNDED PRECEDING) AS ends
-    FROM dealt d JOIN used u ON d.source = u.source AND d.block = u.block AND u.room > 0)
+    FROM dealt d JOIN used u ON d.source = u.source AND d.block = u.block AND u.room > 0 WHERE tokens <= u.room)
 SELECT doc_id, source, tokens, epoch, block, block_rank, round(weight, 9) AS weight FROM
  (SELECT d.doc_id, d.source, tokens, u.epoch, d.block, u.block_rank, weight FROM dealt d JOIN used u ON d.source = u.source AND d.block = u.block AND u.room IS NULL
   UNION ALL SELECT doc_id, source, tokens, epoch, block, block_rank, weight FROM edge WHERE ends <= room
