@@ -10,31 +10,26 @@ from pyspark.sql import functions as F
 from sheafline.llm import common, mixing, near_dup, positional_index, sharding, toxicity
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
-
-def _verdicts(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Rows whose doc_id isn't among the rejected ones; rows without doc_id stay."""
-    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti")
+REST = COLUMNS[1:]
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the span tagger, trained on the labelled documents, scores at 0.5 or more."""
+    """Drop the rows that the span tagger, trained on the labelled documents, scores at 0.5 or more, with or without doc_id."""
     model = toxicity.learn(spark, docs, common.table(spark, sf_dir, "labels"))
-    return _verdicts(docs, toxicity.tag(model, docs, spans=False, spark=spark).where("predicted = 1")).select(*COLUMNS)
+    return toxicity.tag(model, docs, spans=False, spark=spark, carry=REST).where("predicted = 0").select(*COLUMNS)
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, that of the least doc_id, of every class of near-duplicates."""
-    gone = near_dup.near_duplicates(spark, docs).where("NOT kept")
-    # A repeated row shares its doc_id with the one kept: keep a single row of it.
-    rows = docs.select(*COLUMNS).dropDuplicates(["doc_id", "text"])
-    return _verdicts(rows, gone.where("doc_id <> class_id")).select(*COLUMNS)
+    """Keep one row of every class of near-duplicates: that of the least doc_id, or any if none has one."""
+    kept = near_dup.near_duplicates(spark, docs).where("kept").select(F.col("row_key").alias("d"))
+    rows = near_dup.row_keys(docs.select(*COLUMNS), common.Scratch(spark, "near-dup-rows"))
+    return rows.join(kept, "d", "left_semi").dropDuplicates(["d"]).select(*COLUMNS)  # repeated rows share a key
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that hold benchmark phrases in a twentieth of their words or more."""
-    found = positional_index.decontaminate(spark, docs, common.table(spark, sf_dir, "benchmark"))
-    return _verdicts(docs, found.where("contaminated")).select(*COLUMNS)
+    """Drop the rows that hold benchmark phrases in a twentieth of their words or more."""
+    found = positional_index.decontaminate(spark, docs, common.table(spark, sf_dir, "benchmark"), carry=REST)
+    return found.where("NOT contaminated").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows with their shard and slot."""
-    return sharding.place(spark, docs, carry=COLUMNS[1:]).select(*COLUMNS, "size", "shard", "slot")
+    return sharding.place(spark, docs, carry=REST).select(*COLUMNS, "size", "shard", "slot")
 
 
 STAGES = [
@@ -61,10 +56,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other; each stage's rows are a Parquet table in the shared folder."""
-    at = f"{common.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """The stages one after the other. Each stage's rows are a Parquet table in the shared folder; when the next stage has
+    written its own, that table and the tables of the operator go. The last stage's table is the result's."""
+    steps = common.Scratch(spark, "pipeline-" + uuid.uuid4().hex[:8])
+    mark = len(common.Scratch.opened)
     docs = common.table(spark, sf_dir, "documents").select(*[F.col(c) for c in COLUMNS])
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}-{name}")
-        docs = spark.read.parquet(f"{at}/{k}-{name}")
+        docs = steps.put(stage(spark, docs, sf_dir), f"{k}-{name}", "snappy")
+        steps.keep(f"{k}-{name}")
+        common.Scratch.release(mark)
     return docs
