@@ -1,6 +1,7 @@
-"""License scans: sparse TF-IDF cosine of lines and license files to templates, then nearest-ancestor inheritance.
+"""License scans: sparse TF-IDF cosine of headers and license files to templates, then nearest-ancestor inheritance.
 
-Every line of every text, and every whole text, is a sparse TF-IDF vector; its cosine to each template is a sum over
+Every line of every text, every paragraph (lines up to an empty one, as a header's comment is), and every whole text, is a
+sparse TF-IDF vector; its cosine to each template is a sum over
 shared terms. Document frequencies of the templates' terms are counted over all rows first; any other term has the weight
 of a term seen once. A row's own license is its best line's (or its whole text's) above the threshold. License files give
 their directory a license; a row without one takes that of the nearest directory above it, found by equality joins of
@@ -21,19 +22,37 @@ from .units import text_blocks, word_codes, words
 
 THRESHOLD = 0.6
 
-# License notices by SPDX identifier.
+# License notices and the headers that their texts prescribe, by SPDX identifier.
 TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0",
-    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
-    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3",
-    "MIT": "Released under the MIT License",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+    "Apache-2.0": (
+        "Licensed under the Apache License, Version 2.0",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    ),
+    "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",),
+    "CC-BY-4.0": ("This work is licensed under a Creative Commons Attribution 4.0 International License",),
+    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0",),
+    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0",),
+    "GPL-2.0": (
+        "This work is licensed under the GNU General Public License, version 2",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ),
+    "GPL-3.0": (
+        "This work is licensed under the GNU General Public License, version 3",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",),
+    "LGPL-3.0": (
+        "This work is licensed under the GNU Lesser General Public License, version 3",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    "MIT": (
+        "Released under the MIT License",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+    ),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    ),
 }
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -46,10 +65,11 @@ BREAK[list(range(0x30, 0x3A)) + list(range(0x61, 0x7B)) + list(range(0x80, 0x100
 class Templates:
     """Term codes of the templates and, once frequencies are known, their unit TF-IDF vectors."""
 
-    def __init__(self, templates: Mapping[str, str]) -> None:
-        self.names = sorted(templates)
+    def __init__(self, templates: Mapping[str, str | tuple[str, ...]]) -> None:
+        pairs = [(k, x) for k in sorted(templates) for x in ([templates[k]] if isinstance(templates[k], str) else templates[k])]
+        self.names = [k for k, _ in pairs]
         self.terms = []
-        for _, _, data, offsets in text_blocks(pa.array([templates[k] for k in self.names], pa.string())):
+        for _, _, data, offsets in text_blocks(pa.array([x for _, x in pairs], pa.string())):
             codes, at = terms(data, offsets)
             self.terms += [codes[at[k] : at[k + 1]] for k in range(len(at) - 1)]
         self.vocabulary = np.unique(np.concatenate(self.terms)) if self.terms else np.zeros(0, np.uint64)
@@ -133,12 +153,12 @@ def frequencies(rows: DataFrame, t: Templates) -> tuple[int, np.ndarray]:
     return rows_seen, out
 
 
-def scan(spark: SparkSession, files: DataFrame, templates: Mapping[str, str] | None = None, threshold: float = THRESHOLD, carry: tuple[str, ...] = ()) -> DataFrame:
+def scan(spark: SparkSession, files: DataFrame, templates: Mapping[str, str | tuple[str, ...]] | None = None, threshold: float = THRESHOLD, carry: tuple[str, ...] = ()) -> DataFrame:
     """files: path, text and is_license_file. Returns path, the ``carry`` columns, own_license, similarity, line (number of
-    the best line from 0, -1 for the whole text, null without a license), license, license_from (the row itself: '.', or
+    the best line, or of the first word of the best paragraph, from 0, -1 for the whole text, null without a license), license, license_from (the row itself: '.', or
     the directory) of every row.
 
-    Ties go to the earlier line and the identifier that sorts first. A directory with several license files has that of
+    Ties go to lines before paragraphs before whole texts, the earlier line and the identifier that sorts first. A directory with several license files has that of
     the greatest similarity, then the least path. Null and empty texts have no license of their own; a null path is ''.
     Repeated rows give equal rows; extra columns are ignored.
     """
@@ -153,43 +173,46 @@ def scan(spark: SparkSession, files: DataFrame, templates: Mapping[str, str] | N
             for i, j, data, offsets in text_blocks(batch.column(0), 1 << 20):
                 codes, at = terms(data, offsets)
                 starts = words(LOWER[data], offsets, BREAK)[0]
-                edge = np.unique(np.concatenate([offsets[:-1], np.flatnonzero(data == 10) + 1]))
-                edge = edge[edge < max(1, len(data))]
-                of_line = np.searchsorted(edge, starts, "right") - 1
-                doc = np.repeat(np.arange(j - i), np.diff(at))
-                # Only lines with a template term can come near a template; the whole text is a vector too.
                 known = t.lookup(codes) >= 0
-                some = np.bincount(of_line[known], minlength=len(edge)) > 0
-                number = np.cumsum(some) - 1
-                use = some[of_line]
-                by_line = t.cosines(codes[use], number[of_line[use]], int(some.sum()))
-                whole = t.cosines(codes, doc, j - i)
-                lines = np.flatnonzero(some)
-                owner = np.searchsorted(offsets, edge[lines], "right") - 1
-                first = np.searchsorted(edge, offsets[:-1], "left")
-                best_line = by_line.max(1) if by_line.size else np.zeros(len(lines))
-                order = np.lexsort((lines, -best_line, owner))
-                top = {int(owner[k]): int(k) for k in order[::-1].tolist()}
+                ends = np.flatnonzero(data == 10) + 1
+                begins = [np.unique(np.concatenate([offsets[:-1], e])) for e in (ends, ends[:-1][np.diff(ends) == 1] + 1)]
+                lines = begins[0][begins[0] < max(1, len(data))]
+                first = np.searchsorted(lines, offsets[:-1], "left")  # each text's first line
+                found = [None] * (j - i)  # (cosine, template, line)
+                for begin in begins:  # lines, then paragraphs; only those with a template term can come near a template
+                    begin = begin[begin < max(1, len(data))]
+                    of = np.searchsorted(begin, starts, "right") - 1
+                    some = np.bincount(of[known], minlength=len(begin)) > 0
+                    use = some[of]
+                    c = t.cosines(codes[use], (np.cumsum(some) - 1)[of[use]], int(some.sum()))
+                    part = np.flatnonzero(some)
+                    best = c.max(1) if c.size else np.zeros(len(part))
+                    owner = np.searchsorted(offsets, begin[part], "right") - 1
+                    number = np.searchsorted(lines, starts[np.searchsorted(of, part)], "right") - 1 - first[owner]  # of its first word
+                    for k in np.flatnonzero(best >= threshold).tolist():
+                        d = int(owner[k])
+                        if found[d] is None or best[k] > found[d][0] + 1e-12:
+                            found[d] = (float(best[k]), int(c[k].argmax()), int(number[k]))
+                whole = t.cosines(codes, np.repeat(np.arange(j - i), np.diff(at)), j - i)
                 for d in range(j - i):
-                    name, value, at_line = None, None, None
-                    k = top.get(d)
-                    if k is not None and best_line[k] >= threshold:
-                        name, value, at_line = t.names[int(by_line[k].argmax())], float(best_line[k]), int(lines[k] - first[d])
-                    if whole.size and whole[d].max() >= threshold and whole[d].max() > (value or 0) + 1e-12:
-                        name, value, at_line = t.names[int(whole[d].argmax())], float(whole[d].max()), -1
-                    own.append(name)
-                    similarity.append(value)
-                    line.append(at_line)
+                    if whole.size and whole[d].max() >= threshold and whole[d].max() > (found[d][0] if found[d] else 0) + 1e-12:
+                        found[d] = (float(whole[d].max()), int(whole[d].argmax()), -1)
+                own += [f and t.names[f[1]] for f in found]
+                similarity += [f and f[0] for f in found]
+                line += [f and f[2] for f in found]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(own, pa.string()), pa.array(similarity, pa.float64()), pa.array(line, pa.int32())], names=[*batch.schema.names[1:], "own_license", "similarity", "line"])
 
     schema = f"path string, is_license_file boolean, {extra + ', ' if extra else ''}own_license string, similarity double, line int"
     own = rows.select("text", "path", "is_license_file", *[f"carry_{c}" for c in carry]).mapInArrow(emit, schema)
     own = own.withColumn("directory", F.regexp_replace("path", "/?[^/]*$", ""))
-    own = Scratch(spark, "licenses").put(own, "own")
+    scratch = Scratch(spark, "licenses")
+    own = scratch.put(own, "own")
+    # What joins large directories and the ancestors of many is written first, so the joins can split a hot directory.
     given = own.where("is_license_file AND own_license IS NOT NULL").groupBy("directory").agg(F.min_by(F.struct("own_license"), F.struct((-F.col("similarity")).alias("s"), "path")).getField("own_license").alias("d_license"))
+    given = scratch.put(given, "given")
     folders = own.select("directory").distinct()
     parts = F.split("directory", "/")
     above = folders.select("directory", F.explode(F.sequence(F.lit(0), F.size(parts))).alias("depth"), parts.alias("parts")).select("directory", "depth", F.array_join(F.slice("parts", 1, F.col("depth")), "/").alias("ancestor"))
     nearest = above.join(given.select(F.col("directory").alias("ancestor"), "d_license"), "ancestor").groupBy("directory").agg(F.max_by(F.struct("d_license", "ancestor"), "depth").alias("near"))
-    out = own.join(nearest, "directory", "left")
+    out = own.join(scratch.put(nearest, "nearest"), "directory", "left")
     return out.select("path", *[F.col(f"carry_{c}").alias(c) for c in carry], "own_license", "similarity", "line", F.coalesce("own_license", "near.d_license").alias("license"), F.when(F.col("own_license").isNotNull(), F.lit(".")).otherwise(F.col("near.ancestor")).alias("license_from"))

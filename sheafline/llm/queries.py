@@ -101,8 +101,10 @@ def oracle_sql() -> dict[str, str]:
     from . import line_frequency, mixing, oracles
 
     return {
+        "op1_prob_minhash": oracles.NEAR_DUPLICATES,
         "op2_temperature_mix": mixing.SQL,
         "op3_substring_tree": oracles.SUBSTRING_WORDS,
+        "op7_lyndon_suffix": oracles.SUBSTRING_BYTES,
         "op8_line_frequency": line_frequency.SQL,
         "op10_positional_index": oracles.CONTAMINATION,
     }

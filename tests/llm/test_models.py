@@ -223,3 +223,61 @@ def test_cosine_against_plain():
     norm = np.sqrt(2 * idf**2 + other**2)
     assert got[0] == pytest.approx((idf * idf + idf * 2 * idf) / norm / np.sqrt(5 * idf**2))
     assert got[1] == pytest.approx(idf * idf / norm / np.sqrt(2 * idf**2))
+
+
+def plain_scan(rows):
+    """Every row's best (cosine, license, line) over lines, paragraphs and the whole text, by dictionaries."""
+    import math
+    import re
+    from itertools import groupby
+
+    say = lambda t: re.findall(r"[0-9a-z\x80-\xff]+", (t or "").lower().encode().decode("latin-1"))
+    named = [(k, say(x)) for k in sorted(licenses.TEMPLATES) for x in licenses.TEMPLATES[k]]
+    vocabulary = {w for _, t in named for w in t}
+    seen = Counter(w for t in rows for w in set(say(t)) & vocabulary)
+    n = len(rows)
+    idf = lambda w: math.log((1 + n) / (1 + seen[w])) + 1 if w in vocabulary else math.log(1 + n) + 1
+    vector = lambda t: {w: c * idf(w) for w, c in Counter(t).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values())) or 1
+    templates = [(k, vector(t)) for k, t in named]
+
+    def near(t):
+        v = vector(say(t))
+        return max(((sum(x * u.get(w, 0) for w, x in v.items()) / norm(v) / norm(u), k) for k, u in templates), key=lambda x: x[0])
+
+    out = []
+    for t in rows:
+        lines = (t or "").split("\n")
+        units = [(line, i) for i, line in enumerate(lines)]
+        at = 0
+        for blank, run in groupby(lines, lambda x: x == ""):
+            run = list(run)
+            units += [("\n".join(run), at + k) for k in [next((k for k, x in enumerate(run) if say(x)), 0)] if not blank]
+            at += len(run)
+        units.append((t, -1))
+        best = (0, None, None)
+        for text, i in units:
+            score, k = near(text)
+            if score >= licenses.THRESHOLD and score > best[0] + 1e-9:
+                best = (score, k, i)
+        out.append(best)
+    return out
+
+
+def test_licenses_against_plain(spark):
+    r = random.Random(6)
+    notices = [x for xs in licenses.TEMPLATES.values() for x in xs]
+    rows = [None, "", "\n\n", MIT]
+    for _ in range(80):
+        w = r.choice(notices).split()
+        for _ in range(r.randrange(4)):
+            w[r.randrange(len(w))] = r.choice("alpha beta license the of gnu 2".split())
+        cut = r.randint(1, len(w))
+        header = " ".join(w[:cut]) + r.choice(["\n * ", "\n", " "]) + " ".join(w[cut:])
+        rows.append("code line one\n" * r.randrange(3) + r.choice(["", "\n", "\n\n\n"]) + header + r.choice(["", "\n", "\n\nmore of it", "\nmore"]))
+    df = spark.createDataFrame([(f"f{i}", t, False) for i, t in enumerate(rows)], "path string, text string, is_license_file boolean")
+    got = {r.path: r for r in licenses.scan(spark, df).collect()}
+    for i, (score, name, line) in enumerate(plain_scan(rows)):
+        g = got[f"f{i}"]
+        assert (g.own_license, g.line) == (name, line), (rows[i], g)
+        assert name is None or g.similarity == pytest.approx(score)
