@@ -101,11 +101,12 @@ def upsert_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("task").agg(F.max_by("status", "id").alias("status"), F.max("seconds").alias("seconds"), F.count("*").alias("writes"))
 
 
-@query(with_cte("cv", "SELECT a.id, coalesce(active.status, queued.status, 'not-found') AS status FROM (SELECT unnest(range(0, 12000, 7)) AS id) a LEFT JOIN (SELECT * FROM cv WHERE status = 'processing') active USING (id) LEFT JOIN (SELECT * FROM cv WHERE status <> 'processing') queued USING (id)"))
+@query(with_cte("cv", "SELECT a.id, coalesce(active.status, queued.status, 'not-found') AS status FROM (SELECT id FROM cv UNION ALL SELECT id + 100000000000 FROM cv) a LEFT JOIN (SELECT * FROM cv WHERE status = 'processing') active USING (id) LEFT JOIN (SELECT * FROM cv WHERE status <> 'processing') queued USING (id)"))
 def status_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The active entry, else the queued one, else not found."""
     c = conversions(spark, sf_dir).groupBy("id").agg(F.max(F.when(F.col("status") == "processing", F.col("status"))).alias("active"), F.max(F.when(F.col("status") != "processing", F.col("status"))).alias("queued"))
-    return spark.range(0, 12000, 7).join(c, "id", "left").select("id", F.coalesce("active", "queued", F.lit("not-found")).alias("status"))
+    asked = c.select("id").unionByName(c.select((F.col("id") + 100_000_000_000).alias("id")))  # every job, and as many that aren't there
+    return asked.join(c, "id", "left").select("id", F.coalesce("active", "queued", F.lit("not-found")).alias("status"))
 
 
 @query(with_cte("cv", "SELECT user_id, count(*) FILTER (status = 'done')::BIGINT AS done, max(seconds) FILTER (status = 'done') AS longest, strftime(max(created_at), '%Y-%m-%d %H:%M:%S') AS latest FROM cv GROUP BY user_id"))
