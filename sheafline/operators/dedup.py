@@ -1,4 +1,4 @@
-"""Exact de-duplication, content ids, caches and page consolidation."""
+"""Exact de-duplication, content ids, caches and page consolidation."""
 
 from __future__ import annotations
 
@@ -31,14 +31,6 @@ def dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("source", "f").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "source")
 
 
-@query(f"SELECT source, lang, count(*)::BIGINT AS parts, md5(string_agg(f, chr(10) || chr(10) ORDER BY doc_id)) AS body FROM (SELECT source, lang, {PRINT_SQL} AS f, min(doc_id) AS doc_id FROM documents GROUP BY ALL) GROUP BY source, lang")
-def consolidate_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts of a page (source and language) after keep-first, joined in order; hashes stand for the texts."""
-    d = read(spark, sf_dir, "documents").groupBy("source", "lang", fingerprint().alias("f")).agg(F.min("doc_id").alias("doc_id"))
-    g = d.groupBy("source", "lang").agg(F.array_sort(F.collect_list(F.struct("doc_id", "f"))).alias("p"))
-    return g.select("source", "lang", F.size("p").cast("long").alias("parts"), F.md5(F.array_join(F.transform("p", lambda x: x["f"]), "\n\n")).alias("body"))
-
-
 @query("SELECT doc_id, left(sha256(text), 16) AS content_id, left(sha256('plan:' || doc_id || ':' || lang), 16) AS plan_id FROM documents")
 def content_hash_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K4, K6."""
@@ -52,10 +44,10 @@ def dangling_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.join(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("target")), "target", "left_anti").select("doc_id", "pos", "target")
 
 
-@query(with_cte("md", "SELECT doc_id, kind, min(pos) AS first_pos FROM (SELECT doc_id, pos, left(line, 3) AS kind FROM md) GROUP BY doc_id, kind"))
+@query(with_cte("md", "SELECT doc_id, kind, min(pos) AS first_pos FROM (SELECT doc_id, pos, regexp_replace(line, '[0-9]+', '#', 'g') AS kind FROM md) GROUP BY doc_id, kind"))
 def distinct_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordered distinct: the first place of each fact."""
-    return md_lines(spark, sf_dir).groupBy("doc_id", F.substring("line", 1, 3).alias("kind")).agg(F.min("pos").alias("first_pos"))
+    return md_lines(spark, sf_dir).groupBy("doc_id", F.regexp_replace("line", "[0-9]+", "#").alias("kind")).agg(F.min("pos").alias("first_pos"))
 
 
 @query("SELECT conv_id, count(*)::BIGINT AS turns, min(turn)::BIGINT AS first, max(turn)::BIGINT AS last, max(turn) - min(turn) + 1 = count(*) AND count(DISTINCT turn) = count(*) AS contiguous, arg_max(role, turn) AS last_role FROM conversations GROUP BY conv_id")

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
-from ..sources.adapters import boxes, headings, html_elements, lines, read, with_cte
+from ..sources.adapters import boxes, headings, html_elements, html_tags, lines, read, with_cte
 
 # Element type of a raw label.
-LABEL_TYPE = {"h1": "title", "p": "paragraph", "li": "list_item", "footer": "page_footer", "section_header": "heading"}
+LABEL_TYPE = {"h1": "title", **{f"h{k}": "heading" for k in range(2, 7)}, "pre": "code", "table": "table", "figure": "picture", "form": "form", "p": "paragraph", "li": "list_item", "footer": "page_footer", "section_header": "heading"}
 CONTAINERS = ("nav", "article", "body", "section", "list")
 
-TYPE_SQL = "CASE label WHEN 'h1' THEN 'title' WHEN 'p' THEN 'paragraph' WHEN 'li' THEN 'list_item' WHEN 'footer' THEN 'page_footer' ELSE CASE WHEN label IN ('nav', 'article', 'body', 'section', 'list') THEN 'group' ELSE 'unknown' END END"
+TYPE_SQL = "CASE label WHEN 'h1' THEN 'title' WHEN 'h2' THEN 'heading' WHEN 'h3' THEN 'heading' WHEN 'h4' THEN 'heading' WHEN 'h5' THEN 'heading' WHEN 'h6' THEN 'heading' WHEN 'pre' THEN 'code' WHEN 'table' THEN 'table' WHEN 'figure' THEN 'picture' WHEN 'form' THEN 'form' WHEN 'p' THEN 'paragraph' WHEN 'li' THEN 'list_item' WHEN 'footer' THEN 'page_footer' ELSE CASE WHEN label IN ('nav', 'article', 'body', 'section', 'list') THEN 'group' ELSE 'unknown' END END"
 
 
 def element_type(label):
@@ -46,12 +46,14 @@ def element_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def page_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accessibility profile of every page: counts by type, title, elements to review, a title after the text."""
-    of = lambda t: F.count_if(F.col("type") == t)
-    first = lambda t: F.min(F.when(F.col("type") == t, F.col("ord")))
-    counts = typed(spark, sf_dir).groupBy("page_id").agg(F.count("*").alias("elements"), of("paragraph").alias("paragraphs"), of("list_item").alias("items"), of("unknown").alias("obligations"), (first("title") > first("paragraph")).alias("late_title"))
-    pages = read(spark, sf_dir, "pages").select("page_id", "url", F.coalesce(F.nullif(F.trim(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)), F.lit("")), F.col("url")).alias("title"))
-    return pages.join(counts, "page_id", "left").na.fill(0, ["elements", "paragraphs", "items", "obligations"]).na.fill(False, ["late_title"])
+    """Accessibility profile of every page: counts by type, title, elements to review, a title after the text; one pass over
+    each page's own tags, without a shuffle."""
+    many = lambda t: F.size(F.filter("types", lambda x: x == t)).cast("long")
+    place = lambda t: F.nullif(F.array_position("types", t), F.lit(0))
+    title = F.coalesce(F.nullif(F.trim(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)), F.lit("")), F.col("url"))
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", title.alias("title"), F.transform(html_tags(), element_type).alias("types"))
+    late = F.coalesce(place("title") > place("paragraph"), F.lit(False))
+    return pages.select("page_id", "url", "title", F.size("types").cast("long").alias("elements"), many("paragraph").alias("paragraphs"), many("list_item").alias("items"), many("unknown").alias("obligations"), late.alias("late_title"))
 
 
 PARENT_SQL = "CASE label WHEN 'li' THEN 'nav' WHEN 'p' THEN 'article' WHEN 'h1' THEN 'article' WHEN 'b' THEN 'p' END"

@@ -137,14 +137,14 @@ def outline_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    with_cte("md", r"""SELECT doc_id, pos, slug || CASE WHEN n > 1 THEN '-' || n ELSE '' END AS block_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, slug ORDER BY pos) AS n FROM (
-    SELECT doc_id, pos, substr(regexp_replace(regexp_replace(lower(left(line, 6)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 40) AS slug FROM md))""")
+    with_cte("md", rf"""SELECT doc_id, pos, base || CASE WHEN n > 1 THEN '-' || n ELSE '' END AS block_id, kind || '-' || slug || '-' || pos AS indexed_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, base ORDER BY pos) AS n FROM (SELECT *, kind || '-' || slug AS base FROM (
+    SELECT doc_id, pos, {KIND_SQL} AS kind, substr(regexp_replace(regexp_replace(lower(line), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 40) AS slug FROM md)))""")
 )
 def block_id_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slugs, the n-th repetition of one in a document gets -n."""
-    rows = md_lines(spark, sf_dir).withColumn("slug", T.slug(F.substring("line", 1, 6)))
-    n = F.row_number().over(Window.partitionBy("doc_id", "slug").orderBy("pos"))
-    return rows.withColumn("n", n).select("doc_id", "pos", F.when(F.col("n") > 1, F.concat_ws("-", "slug", F.col("n").cast("string"))).otherwise(F.col("slug")).alias("block_id"))
+    """Ids from the kind and a slug; the n-th repetition of one in a document gets -n, or every one its place."""
+    rows = kinds(spark, sf_dir).withColumn("base", F.concat_ws("-", "kind", T.slug(F.col("line"))))
+    n = F.row_number().over(Window.partitionBy("doc_id", "base").orderBy("pos"))
+    return rows.withColumn("n", n).select("doc_id", "pos", F.when(F.col("n") > 1, F.concat_ws("-", "base", F.col("n").cast("string"))).otherwise(F.col("base")).alias("block_id"), F.concat_ws("-", "base", F.col("pos").cast("string")).alias("indexed_id"))
 
 
 @query(

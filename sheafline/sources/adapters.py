@@ -6,7 +6,7 @@ document key ``doc_id`` and a dense order ``pos``, so later windows share one ex
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -15,7 +15,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Tags that become elements, in the order in which alternatives are tried.
-HTML_TAGS = "h1|p|li|nav|footer|article|b"
+HTML_TAGS = "h1|h2|h3|h4|h5|h6|pre|p|li|nav|footer|article|table|figure|form|b"
+#: What holds no elements, though it may hold what looks like tags.
+HTML_MUTE = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,10 +48,14 @@ def md_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).select("doc_id", "pos", "pk", "sk", text.alias("line"))
 
 
+def html_tags() -> Column:
+    """Opening tags of a page in order, outside of scripts, styles and comments."""
+    return F.regexp_extract_all(F.regexp_replace("html", HTML_MUTE, ""), F.lit(f"<({HTML_TAGS})[ >]"), F.lit(1))
+
+
 def html_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L2: opening tags of pages in order."""
-    found = F.regexp_extract_all("html", F.lit(f"<({HTML_TAGS})[ >]"), F.lit(1))
-    return read(spark, sf_dir, "pages").select("page_id", F.posexplode(found).alias("p", "label")).select("page_id", (F.col("p") + 1).cast("long").alias("ord"), "label")
+    return read(spark, sf_dir, "pages").select("page_id", F.posexplode(html_tags()).alias("p", "label")).select("page_id", (F.col("p") + 1).cast("long").alias("ord"), "label")
 
 
 def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +111,7 @@ CTE = {
     "li": _LI,
     "md": _LI + """, md AS (SELECT doc_id, pos, pk, sk, CASE (pk * 7 + pos) % 9 WHEN 0 THEN '# Part ' || pk WHEN 1 THEN '## Supplier ' || sk WHEN 2 THEN 'ALL CAPS ' || pk WHEN 3 THEN '2.1 numbered ' || pk
   WHEN 4 THEN '- item ' || pk WHEN 5 THEN '1) step ' || pk WHEN 6 THEN '| a' || pk || ' | b |' WHEN 7 THEN '| --- | --- |' ELSE 'Plain **text** of part ' || pk || '.' END AS line FROM li)""",
-    "el": f"""el AS (SELECT page_id, unnest(range(1, len(f) + 1))::BIGINT AS ord, unnest(f) AS label FROM (SELECT page_id, regexp_extract_all(html, '<({HTML_TAGS})[ >]', 1) AS f FROM pages))""",
+    "el": f"""el AS (SELECT page_id, unnest(range(1, len(f) + 1))::BIGINT AS ord, unnest(f) AS label FROM (SELECT page_id, regexp_extract_all(regexp_replace(html, '{HTML_MUTE}', '', 'g'), '<({HTML_TAGS})[ >]', 1) AS f FROM pages))""",
     "hd": _LI + ", hd AS (SELECT doc_id, pos, pk, (1 + (pk + ln) % 6)::BIGINT AS level FROM li)",
     "bx": _LI + ", bx AS (SELECT doc_id, pos, pk, sk % 3 + 1 AS page, qty AS x0, qty + disc * 2000 + 5 AS x1, (pos * 30 + pk % 17)::DOUBLE AS y0, (pos * 30 + pk % 17)::DOUBLE + 20 AS y1 FROM li)",
     "ob": _LI + ", ob AS (SELECT doc_id, pos, pk, sk, rf, CASE WHEN pk % 2 = 0 AND pos > 1 THEN pos - 1 END AS dep, ls = 'F' AS satisfied, rf = 'A' AS selected FROM li)",
