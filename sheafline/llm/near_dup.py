@@ -247,7 +247,7 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, shingle: int = SH
     sized = group.join(of.where("d = rep").select(F.col("d").alias("node"), "n_words").distinct(), "node")
     blocks = scratch.put(sized.groupBy("root").agg(F.ceil(F.sum("n_words") / group_words).cast("int").alias("blocks")), "blocks")
     member = sized.join(blocks, "root").select(F.col("node").alias("d"), "root", "blocks", "n_words", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    member = scratch.put(member.join(docs.select("d", "text").dropDuplicates(["d"]), "d"), "members")
+    member = scratch.put(member.join(docs.select("d", "text"), "d").dropDuplicates(["d"]), "members")
 
     def whole(key: tuple, rows_: pd.DataFrame) -> pd.DataFrame:
         a, b = verified_forest(rows_, shingle, similarity, False)
