@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .operators import dedup, documents, elements, folds, grammar, helpers, history, items, layout, obligations, planning, records, render, scans, sections, tables  # noqa: F401  they register their queries
+from .operators import dedup, documents, elements, folds, grammar, helpers, history, items, layout, obligations, planning, records, render, scans, sections, service, tables  # noqa: F401  they register their queries
 from .plans.registry import ORACLES, QUERIES, Query
 
 

@@ -1,4 +1,4 @@
-"""Tables: widths, checks, linearisation, visual rows, back-fill."""
+"""Tables: widths, checks, linearisation, visual rows, back-fill."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
-from ..sources.adapters import md_lines, read, table_cells, with_cte
+from ..sources.adapters import table_cells, with_cte
 
 
 @query(with_cte("tc", "SELECT doc_id, row, sum(CASE WHEN colspan >= 1 THEN colspan ELSE 1 END)::BIGINT AS width, count(*)::BIGINT AS cells, count(*) FILTER (trim(text) = '')::BIGINT AS blanks FROM tc GROUP BY doc_id, row"))
@@ -28,15 +28,3 @@ def table_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ROW_SQL = r"regexp_matches(line, '^\|.*\|$') AND NOT regexp_matches(line, '^[|:\s-]+$')"
-
-
-FORMATS = ("pdf", "docx", "html", "txt", "json", "mp3", "zip")
-
-
-@query("SELECT o_orderkey AS id, count(*)::BIGINT AS available, string_agg(f, ',' ORDER BY k) AS formats FROM orders, (VALUES ('pdf', 1), ('docx', 2), ('html', 3), ('txt', 4), ('json', 5), ('mp3', 6), ('zip', 7)) v(f, k) WHERE (o_orderkey * k) % 3 = 0 GROUP BY o_orderkey")
-def format_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The seven formats that exist, as an array filter and no join."""
-    k = F.array(*[F.lit(i + 1) for i in range(len(FORMATS))])
-    names = F.array(*[F.lit(f) for f in FORMATS])
-    some = F.filter(F.zip_with(names, k, lambda f, i: F.when(F.col("o_orderkey") * i % 3 == 0, f)), lambda f: f.isNotNull())
-    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), some.alias("s")).where("size(s) > 0").select("id", F.size("s").cast("long").alias("available"), F.array_join("s", ",").alias("formats"))
