@@ -99,6 +99,7 @@ def plan_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("doc_id", "steps", ((F.col("lo") == 0) & (F.col("hi") == F.col("steps") - 1) & (F.col("d") == F.col("steps"))).alias("contiguous"), (F.col("last") == "complete-job").alias("completes"), (stated == F.col("cost")).alias("total_agrees"), "executions", ((F.col("extra") == 0) & (F.col("bare") == 0)).alias("fields_agree"))
 
 
+# Callout types that warn, and what stands for a missing text.
 WARNINGS = ("warning", "aviso", "importante", "caution")
 
 
