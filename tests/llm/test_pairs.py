@@ -124,6 +124,17 @@ def test_contamination_of_nothing(spark):
     assert sorted(r.contaminated for r in positional_index.decontaminate(spark, docs, bench).collect()) == [False, True]
 
 
+def test_contamination_of_repeated_rows_and_carried_columns(spark):
+    rows, items = decontamination_rows()
+    rows = [(i, t) for i, t in rows[3:20]] * 2 + [(None, rows[5][1]), (None, None)]
+    docs = spark.createDataFrame([(i, t, k, "p") for k, (i, t) in enumerate(rows)], "doc_id long, text string, row int, postings string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = contamination(list(enumerate(t for _, t in rows)), items)
+    got = positional_index.decontaminate(spark, docs, bench, block_terms=200, carry=("text", "row", "postings")).collect()
+    assert {r.row: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got} == want
+    assert all((r.doc_id, r.text) == rows[r.row] and r.postings == "p" for r in got)
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "x gamma y alpha z beta q"), (2, "alpha " + "p " * 30 + "beta gamma"), (3, None)], "doc_id long, text string")
     bench = spark.createDataFrame([(7, "Alpha beta gamma")], "item_id long, text string")

@@ -21,7 +21,7 @@ def corpus(seed=5):
             w[r.randrange(len(w))] = r.choice(vocabulary)
         kind = i % 4
         rows.append((i, " ".join(w) if kind == 0 else text(r.randint(1, 150)) + passage + text(r.randint(0, 80)) if kind == 1 else passage[r.randint(0, 300) :] if kind == 2 else text(r.randint(1, 300))))
-    rows += [(60, text(4000) + passage + text(10)), (61, "\x00" * 250 + "a"), (62, "b" + "\x00" * 230)]
+    rows += [(63, text(12_000) + passage + text(12_000)), (60, text(4000) + passage + text(10)), (61, "\x00" * 250 + "a"), (62, "b" + "\x00" * 230)]
     return [(i, t, "x", "y") for i, t in rows]
 
 
@@ -49,6 +49,20 @@ def test_null_ids_and_empty_table(spark):
     assert lyndon_suffix.deduplicate(spark, df.limit(0)).count() == 0
 
 
+def test_two_texts_of_one_id(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(120)) for c in "ab")
+    df = spark.createDataFrame([(1, a), (1, b), (2, b + " x"), (None, a), (None, None), (1, a)], "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed) for r in substring_tree.deduplicate(spark, df).collect())
+    assert got == [("1", 120, 0), ("1", 120, 0), ("1", 120, 0), ("2", 121, 120), ("None", 0, 0), ("None", 120, 120)]
+
+
+def test_bytes_without_ids_and_two_texts_of_one_id(spark):
+    a, b = ("".join(f"{c}{i}," for i in range(150)) for c in "ab")
+    rows = [(1, a), (1, b), (2, "x" + b), (None, a[50:]), (None, a[50:]), (None, None), (None, "short")]
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in lyndon_suffix.deduplicate(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == substring_bytes(rows)
+
+
 def test_suffix_array():
     r = random.Random(1)
     for _ in range(600):
