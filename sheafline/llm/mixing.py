@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .line_frequency import _spaces, word_list
+from .line_frequency import word_list
 
 ENTROPY = 0.95
 MAX_EPOCHS = 4.0
@@ -74,7 +74,7 @@ def mix(spark: SparkSession, documents: DataFrame, entropy: float = ENTROPY, max
     rows = documents.select(
         "doc_id",
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
-        F.expr(_spaces(f"cast(size({word_list(text)}) AS bigint)")).alias("tokens"),
+        F.expr(f"cast(size({word_list(text)}) AS bigint)").alias("tokens"),
         F.expr(f"coalesce(cast(doc_id AS string), concat('text/', md5({text})))").alias("key"),  # rows without an id spread by text
         *[F.col(c).alias(f"carry_{c}") for c in carry],
     )
