@@ -51,13 +51,16 @@ def range_number(bounds: list[Key]) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length())), start, halve, lambda a: a["lo"])
 
 
-def _quantiles(samples: list[tuple[int, int, int, float]], pieces: int) -> list[Key]:
-    """Boundaries of ``pieces`` runs of equal weight. A text hash that is cut once is cut before its first record."""
+def _quantiles(samples: list[tuple[int, int, int, float]], pieces: int, inside: bool = False) -> list[Key]:
+    """Boundaries of ``pieces`` runs of equal weight. A text hash that is cut once is cut before its first record, unless
+    ``inside``: then cuts stay where they fall."""
     total, run, out = sum(w for *_, w in samples), 0.0, []
     for k, d, u, w in sorted(samples):
         if run >= total * (len(out) + 1) / pieces and len(out) + 1 < pieces:
             out.append((k, d, u))
         run += w
+    if inside:
+        return out
     times = Counter(k for k, *_ in out)
     return sorted({b if times[b[0]] > 1 else (b[0], FIRST, FIRST) for b in out} | {(k, FIRST, FIRST) for k, n in times.items() if n > 1})
 
@@ -100,20 +103,26 @@ def place(spark: SparkSession, documents: DataFrame, shards: int = SHARDS, overs
         return [(r.k, r.d, r.u, max(r.size, 1 / rate)) for r in df.where(chance < F.col("size") * rate).select("k", "d", "u", "size").collect()]
 
     bounds = _quantiles(draw(rows, total, shards * oversample * samples, 0), shards * oversample)
-    seed = 0
+    seed = still = 0
     while True:
         numbered = rows.withColumn("range", range_number(bounds))
         found = numbered.groupBy("range").agg(F.sum("size").alias("size"), F.max("size").alias("most")).collect()
         sizes = {r.range: r.size for r in found}
         full = [r.range for r in found if r.size > 2 * share + r.most]
-        if not full:
+        if not full or still == 3:  # three draws without a new boundary: what is left are a few large records
             break
         seed += 1
         excess = sum(sizes[r] for r in full)
         drawn: dict[int, list] = {}
         for k, d, u, w in draw(numbered.where(F.col("range").isin(full)), excess, samples * int(excess / share + 1), seed):
             drawn.setdefault(bisect.bisect_right(bounds, (k, d, u)), []).append((k, d, u, w))
-        bounds = sorted(set(bounds).union(*(_quantiles(x, int(sizes[r] / share) + 2) for r, x in drawn.items())))
+        new: set[Key] = set()
+        for r, x in drawn.items():
+            pieces = int(sizes[r] / share) + 2
+            # A range that begins with its only text can be cut between that text's records only.
+            new |= set(_quantiles(x, pieces)).difference(bounds) or set(_quantiles(x, pieces, True)).difference(bounds)
+        still = 0 if new else still + 1
+        bounds = sorted(new.union(bounds))
     # Groups that are dealt whole, and the bytes of other records before each range.
     many = rows.groupBy("k").agg(F.sum("size").alias("size")).where(F.col("size") >= LARGE * total / shards)
     placed, room = deal([(r.k, r.size) for r in many.collect()], shards, total)

@@ -80,6 +80,13 @@ def test_groups_are_dealt_whole(spark):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_few_large_copies_end(spark):
+    rows = [(i, words(7, 400), "s") for i in range(3)] + [(10 + i, words(50 + i, 6), "s") for i in range(300)]
+    got = place(spark, rows)
+    assert len(got) == 303 and sorted(r.slot for r in got if r.shard == 3) == list(range(sum(r.shard == 3 for r in got)))
+    assert len(place(spark, [(i, words(7, 400), "s") for i in range(2)])) == 2
+
+
 def test_deal_against_plain():
     placed, room = sharding.deal([(1, 50), (2, 30), (3, 30), (4, 120), (5, 20)], 2, 200)
     assert placed == {1: 0, 2: 1, 3: 1, 5: 0} and room == [30, 40]
