@@ -133,7 +133,7 @@ def stale_and_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DT2, M5, R5, R6: the six age rules at a stated time, and sizes in whole KB or in MB with one decimal."""
     age = F.timestamp_diff("SECOND", F.col("ts").cast("timestamp"), F.lit(AS_OF).cast("timestamp"))
     size = (F.col("event_id") % 4000 * 1024).cast("double")
-    text = F.when(size < 1048576, F.concat(F.bround(size / 1024, 0).cast("long").cast("string"), F.lit(" KB"))).otherwise(F.format_string("%.1f MB", size / 1048576))
+    text = F.when(size < 1048576, F.concat(F.bround(size / 1024, 0).cast("long").cast("string"), F.lit(" KB"))).otherwise(F.format_string("%.1f MB", F.bround(size / 1048576, 1)))
     return read(spark, sf_dir, "events").select("event_id", *[(age > limit).alias(name) for name, limit in AGES.items()], text.alias("size"))
 
 

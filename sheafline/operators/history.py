@@ -44,7 +44,7 @@ def orphan_timeout(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DT2, R6, M5: download tokens older than seven days."""
     bytes_ = F.col("seconds") * 4096
-    size = F.when(bytes_ < 1048576, F.concat(F.bround(F.col("seconds") * 4, 0).cast("long").cast("string"), F.lit(" KB"))).otherwise(F.format_string("%.1f MB", bytes_ / 1048576))
+    size = F.when(bytes_ < 1048576, F.concat(F.bround(F.col("seconds") * 4, 0).cast("long").cast("string"), F.lit(" KB"))).otherwise(F.format_string("%.1f MB", F.bround(bytes_ / 1048576, 1)))
     return conversions(spark, sf_dir).where("status = 'done'").select("id", size.alias("size"), (F.col("created_at") < _ts(AS_OF) - F.expr("INTERVAL 7 DAY")).alias("expired"))
 
 
