@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import double_text
 from ..plans.registry import query
 from ..sources.adapters import boxes, conversions, read, regions, with_cte
 from .items import elements, items_sql
@@ -18,6 +19,11 @@ def _s(x):
     return x.cast("string")
 
 
+def _merged(left, right):
+    """Both maps' entries; the right map's value of a key that both have, under any policy for repeated keys."""
+    return F.map_concat(F.map_filter(left, lambda k, v: ~F.array_contains(F.map_keys(right), k)), right)
+
+
 @query(
     items_sql(""", t AS (SELECT doc_id, count(DISTINCT coalesce(page, 1)) AS pages, string_agg(text, ' ') AS said, bool_or(type = 'heading') AS sections FROM els WHERE type <> 'title' GROUP BY doc_id)
     SELECT doc_id, 1::BIGINT AS level, 'Documento sem texto' AS title, 'paragraph' AS block, true AS generated, 'no-text' AS warning, pages::BIGINT AS pages FROM t WHERE coalesce(trim(said), '') = '' AND NOT sections""").replace("FROM said) , t", "FROM said), t")
@@ -34,11 +40,13 @@ def generated_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def job_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Named fields and a map of the rest, where the right map's values win; the answer's code and download."""
-    c = conversions(spark, sf_dir)
-    rest = F.map_concat(F.create_map(F.lit("seconds"), F.lit("?"), F.lit("user"), _s(F.col("user_id"))), F.create_map(F.lit("seconds"), _s(F.col("seconds"))))
+    events = read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("said"))
+    c = conversions(spark, sf_dir).withColumn("seconds", double_text(F.col("seconds"))).join(events, "id")
+    rest = _merged(F.create_map(F.lit("seconds"), F.lit("?"), F.lit("user"), _s(F.col("user_id"))), F.create_map(F.lit("seconds"), F.col("seconds")))
+    rest = F.when(F.col("said") == "error", _merged(rest, F.create_map(F.lit("error"), F.col("said")))).otherwise(rest)
+    listed = lambda m: F.concat(F.lit("seconds="), m["seconds"], F.lit(";user="), m["user"], F.coalesce(F.concat(F.lit(";error="), m["error"]), F.lit("")))
+    extra = F.transform(F.array(rest), listed)[0]  # the map is made once
     failed = F.col("status") == "error"
-    rest = F.when(failed, F.map_concat(rest, F.create_map(F.lit("error"), F.lit("error")))).otherwise(rest)
-    extra = F.array_join(F.transform(F.array_sort(F.map_entries(rest), lambda a, b: F.when(a["key"] == b["key"], 0).when((a["key"] == "seconds") | ((a["key"] == "user") & (b["key"] == "error")), -1).otherwise(1)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
     code = F.when(F.col("status") == "done", 200).when(failed, 404).otherwise(202)
     return c.select("id", "status", extra.alias("extra"), code.cast("long").alias("code"), F.when(F.col("status") == "done", F.concat("task_id", F.lit(".zip"))).alias("download"))
 
