@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import double_text
 from ..plans.registry import query
 from ..sources.adapters import conversions, read, with_cte
 
@@ -44,7 +45,10 @@ def orphan_timeout(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DT2, R6, M5: download tokens older than seven days."""
     bytes_ = F.col("seconds") * 4096
-    size = F.when(bytes_ < 1048576, F.concat(F.bround(F.col("seconds") * 4, 0).cast("long").cast("string"), F.lit(" KB"))).otherwise(F.format_string("%.1f MB", F.bround(bytes_ / 1048576, 1)))
+    mb = bytes_ / 1048576
+    # The double's exact value is rounded, not its shortest digits: 1.05 is above the middle, 1.15 below.
+    mb = F.when(F.isnan(mb) | (mb == float("inf")), double_text(mb)).otherwise(F.call_function("format_number", mb, F.lit("0.0")))
+    size = F.when(bytes_ < 1048576, F.concat(F.bround(F.col("seconds") * 4, 0).cast("long").cast("string"), F.lit(" KB"))).otherwise(F.concat(mb, F.lit(" MB")))
     return conversions(spark, sf_dir).where("status = 'done'").select("id", size.alias("size"), (F.col("created_at") < _ts(AS_OF) - F.expr("INTERVAL 7 DAY")).alias("expired"))
 
 

@@ -46,3 +46,9 @@ def test_double_text(spark):
     values = [0.0, -0.0, 0.001, 0.0005, 0.0001, 1e-5, -2.5e-7, 1e7, -12345678.9, 1e15, 1e16, 1.5e17, 1e300, float("nan"), float("inf"), float("-inf"), None]
     got = spark.createDataFrame(list(enumerate(values)), "i int, x double").orderBy("i").select(T.double_text(T.F.col("x")))
     assert [r[0] for r in got.collect()] == [duckdb.execute("SELECT ?::DOUBLE::VARCHAR", [v]).fetchone()[0] for v in values]
+
+
+def test_token_sizes_round_exact_values(spark, events):
+    """268.8 seconds are 1.05 MB, which is a little above the middle as a double; 294.4 are 1.15, a little below."""
+    sizes = [256.0, 255.999, 268.8, 294.4, 320.0, 345.6, 371.2, 0.125, 0.375, *[12.8 * k for k in range(21, 221)]]
+    against_sql(spark, "token_expiry", events([*ROWS, *[(100 + i, "2024-01-17 00:00:00", 1, "purchase", v) for i, v in enumerate(sizes)]]))
