@@ -1,9 +1,10 @@
 """Quality rules by cross-document line frequency, in DataFrame functions only.
 
 Normalised lines (ASCII lower case, white space runs as one blank, trimmed) are hashed and counted once a document and
-host. Lines that more than ``max_documents`` documents of a host hold are removed, and a document that loses more than
-half of its words, or has fewer than ``min_words`` left, is rejected. The counts cover all rows: every document sends one
-short row a distinct line, aggregated before the shuffle; texts are never shuffled.
+host. Lines that more than ``max_documents`` documents of a host hold are cut out of the texts, and a document whose text
+lost more than half of its words, or has fewer than ``min_words`` left, is rejected. The counts cover all rows: every
+document sends one short row a distinct line, aggregated before the shuffle. Texts meet the places of their frequent lines
+in one join.
 """
 
 from __future__ import annotations
@@ -62,32 +63,40 @@ def row_keys(documents: DataFrame) -> DataFrame:
 
 
 def normal_lines(documents: DataFrame) -> DataFrame:
-    """(host, line hashes, document key, words) of every line with a word."""
+    """(host, line hashes, document key, place in the text) of every line with a word."""
     lines = F.split(F.translate("text", SPACES.replace("\n", "") + CAPITALS, " " * 4 + CAPITALS.lower()), "\n")
-    rows = row_keys(documents).select("host", "d", "t", F.explode(lines).alias("line"))
+    rows = row_keys(documents).select("host", "d", "t", F.posexplode(lines).alias("place", "line"))
     rows = rows.withColumn("line", F.trim(F.regexp_replace("line", " +", " "))).where("line <> ''")
-    return rows.select("host", F.xxhash64("line").alias("h"), F.xxhash64(F.reverse("line")).alias("h2"), "d", "t", (F.length("line") - F.length(F.translate("line", " ", "")) + 1).cast("long").alias("n"))
+    return rows.select("host", F.xxhash64("line").alias("h"), F.xxhash64(F.reverse("line")).alias("h2"), "d", "t", "place")
+
+
+def without_lines(text: str, places: str) -> str:
+    """SQL of a text without the lines at some places, of which none may be null."""
+    return rf"transform(array(split({text}, '\n')), l -> array_join(transform(array_except(sequence(0, size(l) - 1), {places}), i -> l[i]), '\n'))[0]"
 
 
 def frequent_lines(spark: SparkSession, documents: DataFrame, max_documents: int = MAX_DOCUMENTS, min_kept: float = MIN_KEPT, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per input row with the base counts, n_removed_words, n_removed_lines (distinct) and the verdict ``kept``.
+    """One row per input row with the base counts, ``text`` without its frequent lines, n_removed_words, n_removed_lines
+    (distinct) and the verdict ``kept`` on what is left. The base counts are those of the whole text.
 
     Null texts are empty; a null source is the host ''. Rows with the same doc_id and text are one document in the counts
     and share a verdict. A document without a word fails the base rules. Extra columns are ignored.
     """
     scratch = Scratch(spark, "line-frequency")
-    lines = scratch.put(normal_lines(documents).groupBy("host", "h", "h2", "d", "t").agg(F.sum("n").alias("n")), "lines")
+    lines = scratch.put(normal_lines(documents), "lines")
     # A table of its own: the join reads two exchanges, so a line of millions of documents can be split between tasks.
-    common = scratch.put(lines.groupBy("host", "h", "h2").agg(F.count("*").alias("documents")).where(F.col("documents") > max_documents), "common")
-    base = scratch.put(base_rules(row_keys(documents)).drop("text", "source"), "base")
-    # Repeated rows are one document; each loses the words of its own lines.
-    copies = base.groupBy("d", "t", "host").agg(F.count("*").alias("copies")).where("copies > 1")
-    lost = lines.join(common, ["host", "h", "h2"]).groupBy("d", "t", "host").agg(F.sum("n").alias("words"), F.count("*").alias("n_removed_lines"))
-    lost = lost.join(scratch.put(copies, "copies"), ["d", "t", "host"], "left").withColumn("n_removed_words", F.expr("words DIV coalesce(copies, 1)")).drop("words", "copies")
-    out = base.join(lost, ["d", "t", "host"], "left").na.fill(0, ["n_removed_words", "n_removed_lines"])
-    left = F.col("n_words") - F.col("n_removed_words")
-    verdict = (left >= min_words) & (left >= min_kept * F.col("n_words"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & verdict).alias("kept"), "n_removed_words", "n_removed_lines")
+    held = lines.select("host", "h", "h2", "d", "t").distinct()
+    common = scratch.put(held.groupBy("host", "h", "h2").agg(F.count("*").alias("documents")).where(F.col("documents") > max_documents), "common")
+    found = lines.join(common, ["host", "h", "h2"]).groupBy("d", "t", "host")
+    lost = scratch.put(found.agg(F.collect_set("place").alias("places"), F.size(F.collect_set(F.struct("h", "h2"))).cast("long").alias("n_removed_lines")), "lost")
+    scratch.keep("lost")
+    # One plan at every size: how many documents lose lines grows with the corpus, so their places are no broadcast.
+    rows = base_rules(row_keys(documents)).join(lost.hint("merge"), ["d", "t", "host"], "left").na.fill(0, ["n_removed_lines"])
+    rows = rows.withColumn("text", F.expr(f"CASE WHEN places IS NULL THEN text ELSE {without_lines('text', 'places')} END"))
+    left = F.expr(f"CASE WHEN places IS NULL THEN n_words ELSE cast(size({word_list('text')}) AS long) END")
+    verdict = (F.col("left") >= min_words) & (F.col("left") >= min_kept * F.col("n_words"))
+    out = rows.withColumn("left", left).withColumn("n_removed_words", F.col("n_words") - F.col("left")).withColumn("kept", ~F.col("base_failed") & verdict)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words", "n_removed_lines", "text")
 
 
 #: The same in DuckDB's SQL.

@@ -31,7 +31,7 @@ def op4_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_frequency import frequent_lines
 
-    return frequent_lines(spark, table(spark, sf_dir, "documents"))
+    return frequent_lines(spark, table(spark, sf_dir, "documents")).drop("text")
 
 
 def op9_dom_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
